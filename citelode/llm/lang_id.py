@@ -47,7 +47,7 @@ def letter_vector(code: int, dim: int) -> np.ndarray:
 class Encoder:
     """Turns texts into bundled vectors; keeps the vectors of letters and n-grams it has met."""
 
-    def __init__(self, dim: int = DIM, n: int = NGRAM, keep: int = 60_000):
+    def __init__(self, dim: int = DIM, n: int = NGRAM, keep: int = 30_000):
         self.dim, self.n, self.keep = dim, n, keep
         self.letters: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
@@ -117,7 +117,8 @@ class Encoder:
         bundles = np.zeros((len(texts), self.dim), np.float32)
         for at in range(0, len(grams), 8192):  # so many bound vectors are gathered at once
             some = grams[at : at + 8192]
-            table = self.grams[self.rows(some)] if len(some) else None
+            rows = self.rows(some)  # may move the table
+            table = self.grams[rows]
             counts = np.zeros((len(texts), len(some)), np.float32)
             for i, f in enumerate(found):
                 if f is not None:
