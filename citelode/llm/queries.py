@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelode.llm import lang_id
+from citelode.llm import lang_id, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id,)}
+    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
