@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citelode.llm import lang_id, ngram_join
+from citelode.llm import lang_id, ngram_join, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 20-word windows, as a digest."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.drop_repeats(docs, window=20)
+    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), "[\\x20\\x09-\\x0D]+", " ")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard)}
+    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
