@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import lang_id, ngram_join, substring_dedup
+from citelode.llm import lang_id, ngram_join, packing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens, packed into sequences of at most 1024."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 20-word windows, as a digest."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,7 +45,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op7_best_fit_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
