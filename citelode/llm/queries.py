@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import lang_id, ngram_join, packing, substring_dedup, vector_search
+from citelode.llm import lang_id, ngram_join, packing, substring_dedup, vector_search, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_webp_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as lossless WebP and read back."""
+    return webp.media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 20-word windows, as a digest."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,7 +71,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op6_vantage_search, op7_best_fit_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
