@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import lang_id, ngram_join, packing, substring_dedup, vector_search, webp
+from citelode.llm import lang_id, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    out = sentence_pieces.encode_column(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every hundredth, exactly (pruning factor one)."""
     return vector_search.nearest(_table(spark, sf_dir, "embeddings"))
@@ -71,7 +77,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
