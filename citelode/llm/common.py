@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,16 +77,48 @@ def with_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
 
-def connected_components(edges: DataFrame, name: str) -> DataFrame:
+def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of 0..n-1 under the links a-b, each the smallest member."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
+        if (lo == hi).all():
+            return root
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+#: Edges that one task resolves at once; more of them first shrink in distributed rounds.
+LOCAL_EDGES = 2_000_000
+
+
+def connected_components(edges: DataFrame, name: str, local: int = LOCAL_EDGES) -> DataFrame:
     """Components of an undirected graph: ``(node, root)``, root the smallest node reachable.
 
-    ``edges`` has two long columns ``a`` and ``b``. Each round points every node at the
-    smallest neighbour (large star), then at the smallest of what it points at (small star),
-    until no edge changes; both are aggregations with map-side combining, so a node with very
-    many edges meets as one partial minimum from each task. Rounds grow with the logarithm of
-    the longest chain. Edges never reach the driver.
+    ``edges`` has two long columns ``a`` and ``b``; edges from a node to itself don't count. Up
+    to ``local`` edges, a fixed bound, go through union-find in one executor task. More are
+    rewritten round by round: every node is pointed at the smallest neighbour (large star), then
+    at the smallest of what it points at (small star), until no edge changes; both are
+    aggregations with map-side combining, so a node with very many edges meets as one partial
+    minimum from each task. Rounds grow with the logarithm of the longest chain. Edges never
+    reach the driver, and the result is the same either way.
     """
     cur = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    if cur.count() <= local:
+
+        def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+            if held:
+                nodes, code = np.unique(np.concatenate([c for pair in zip(*held, strict=True) for c in pair]), return_inverse=True)
+                half = len(code) // 2
+                roots = union_find(len(nodes), code[:half], code[half:])
+                for at in range(0, len(nodes), 100_000):
+                    some = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[roots[some]])], names=["node", "root"])
+
+        return stage(cur.coalesce(1).mapInArrow(resolve, "node long, root long"), name)
     previous = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -93,17 +126,10 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low2, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        new = stage(small, name)
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        new = stage(large.join(low2, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), name)
         sign = new.select(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if (sign.n, sign.x) == previous:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            roots = new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         previous, cur = (sign.n, sign.x), new

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import connected_components, hash_words, mix64, stage, words_of
+from citelode.llm.common import connected_components, hash_words, mix64, stage, union_find, words_of
 
 #: Documents of a family in one block; two blocks meet in one task.
 BLOCK = 1024
@@ -126,19 +126,6 @@ def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys[new], ids[new], pairs[:, 0], pairs[:, 1]
 
 
-def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Roots of 0..n-1 under the links a-b, each the smallest member."""
-    root = np.arange(n)
-    while True:
-        ra, rb = root[a], root[b]
-        lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
-        if (lo == hi).all():
-            return root
-        np.minimum.at(root, hi, lo)
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, fragments: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked sets, right ones counted on after the left ones.
 
@@ -272,7 +259,7 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
         if len(cls) < 2 or (i != j and cut in (0, len(cls))):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         a, b = links_of_blocks(sets_[:cut], sets_[cut:] if i != j else None, percent)
-        root = _union(len(cls), a, b)
+        root = union_find(len(cls), a, b)
         tied = np.flatnonzero(root != np.arange(len(cls)))
         return pd.DataFrame({"a": cls[root[tied]], "b": cls[tied]})
 
