@@ -235,16 +235,19 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
     first = sets.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
     members = stage(families.join(first, families.node == first.cls).select("root", "cls", "id"), "ngram-members")
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    wanted = members.join(blocks, "root")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), n) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "grams"])
+            right = pa.array([set_class(s) == c for s, c in zip(found, batch.column("cls").to_pylist(), strict=True)], pa.bool_())
+            columns = [*(batch.column(c) for c in ("root", "cls", "blocks")), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "cls", "blocks", "grams"]).filter(right)
 
-    grams = docs.join(members.select("id"), "id", "left_semi").mapInArrow(again, "cls long, grams binary")
+    # The members grow with the documents, so they are never broadcast, however few here.
+    texts = docs.join(wanted.hint("merge"), "id").select("root", "cls", "blocks", "text")
     placed = (
-        grams.join(members.select("cls", "root"), "cls")
-        .join(blocks, "root")
+        texts.mapInArrow(again, "root long, cls long, blocks int, grams binary")
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("root", "cls", "grams", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
