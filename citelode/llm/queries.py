@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import lang_id, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
+from citelode.llm import html_text, lang_id, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     return lang_id.identify(_table(spark, sf_dir, "documents"))
@@ -77,7 +82,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_html_extraction, op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
