@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import html_text, lang_id, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
+from citelode.llm import html_text, lang_id, license_scan, line_dedup, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines of recurring templates, as a digest."""
+    out = line_dedup.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -81,9 +87,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_vantage_search": OP6_SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op10_license_scan": license_scan.sql(), "op6_vantage_search": OP6_SQL}
