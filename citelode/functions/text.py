@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What separates tokens: everything but letters and numbers of any script.
 NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]+"
@@ -90,12 +91,12 @@ def _decode(text: str, named: dict[str, str], keep_unknown: bool) -> str:
     return _REFERENCE.sub(one, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_title(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else _decode(t, TITLE_ENTITIES, True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_body(s: pd.Series) -> pd.Series:
     named = {k: TITLE_ENTITIES[k] for k in BODY_ENTITIES}
     return s.map(lambda t: None if t is None else _decode(t, named, False))

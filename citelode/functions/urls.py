@@ -8,6 +8,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # Multipliers by host, the first suffix that fits.
 TLD_AUTHORITY = ((".gov", 1.40), (".edu", 1.30))
@@ -99,7 +100,7 @@ def unwrap_redirect(href: Column) -> Column:
     return F.when(wrapped != "", F.try_url_decode(wrapped)).otherwise(F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_href(base: pd.Series, href: pd.Series) -> pd.Series:
     """A link made absolute against its page's address; null where it can't be."""
 
@@ -148,7 +149,7 @@ def _embedded(ip: ipaddress.IPv6Address) -> ipaddress.IPv4Address | None:
     return low if nat64 or (int(ip) >> 32 == 0 and int(ip) > 1) else None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_private_ip(s: pd.Series) -> pd.Series:
     """The same for addresses of either version, IPv4 ones inside IPv6 included."""
     v4, v6 = [ipaddress.ip_network(n) for n in PRIVATE_V4], [ipaddress.ip_network(n) for n in PRIVATE_V6]
