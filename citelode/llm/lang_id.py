@@ -172,7 +172,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return {name: (s / np.linalg.norm(s)).astype(np.float32) for name, s in sorted(sums.items()) if np.linalg.norm(s) > 0}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM) -> DataFrame:
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (cosine, 0 to 1) to the columns of ``df``.
 
     ``und`` and 0 where the text is null or has no letter, or where no language was learned.
@@ -181,6 +181,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     """
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else None
+    dim = len(matrix) if names else DIM
 
     def one(v: np.ndarray | None) -> tuple[str, float]:
         if v is None or matrix is None:

@@ -57,7 +57,7 @@ def test_components(spark, local):
 
 def test_line_dedup_drops_templates_and_keeps_copies(spark):
     rng = random.Random(SEED)
-    rows = [(i, f"{prose(rng, 60)}\nPosted by user {i} on 2024-01-{i % 28 + 1:02d}\n\n{prose(rng, 40)}\nShared by {prose(rng, 1)} with all of our readers") for i in range(20)]
+    rows = [(i, f"{prose(rng, 60)}\nPosted by user {i} on 2024-01-{i % 28 + 1:02d}\n\n{prose(rng, 40)}\nShared today by {prose(rng, 1)} with all of our readers") for i in range(20)]
     rows += [(100 + i, "Just the same line of text again") for i in range(20)]  # copies: equal texts are one document
     out = {r.doc_id: r for r in line_dedup.drop_recurring(documents(spark, rows)).collect()}
     for i in range(20):
@@ -193,8 +193,8 @@ def test_jaccard_join(spark, n, percent, block):
         for _ in range(rng.randint(1, 12)):
             w = list(words)
             for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
-                at = rng.randrange(len(w))
-                w[at : at + 1] = rng.choice([[], ["zz"], [w[at], prose(rng, 1)]])
+                at = rng.randrange(len(w) + 1)
+                w[at : at + 1] = rng.choice([[], ["zz"], [*w[at : at + 1], prose(rng, 1)]])
             rows.append((len(rows), rng.choice([" ", "\n"]).join(w).upper() if rng.random() < 0.2 else " ".join(w)))
     rng.shuffle(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(documents(spark, rows), n, percent, block=block).collect()}
