@@ -25,7 +25,10 @@ MOST = 0.5
 
 def masked(line: Column) -> Column:
     """The line with single spaces between tokens, trimmed, tokens with a digit as ``<*>``."""
-    even = F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))
+    odd = F.contains(line, F.lit("  "))
+    for control in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(control))
+    even = F.trim(F.when(odd, F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line))
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(even)
 
 
@@ -33,24 +36,25 @@ def _lines(df: DataFrame, text: str) -> DataFrame:
     """Each line of each row that isn't blank: text key, place, template, leaf, token count."""
     exploded = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("rk"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     shaped = exploded.select("rk", "pos", F.length("line").alias("size"), masked(F.col("line")).alias("shape")).where("shape <> ''")
-    n = F.length("shape") - F.length(F.translate("shape", " ", "")) + 1
+    n = F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit(""))) + 1
     return shaped.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("shape", " ", DEPTH))).withColumn("tpl", F.xxhash64("shape"))
 
 
 def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Line keys ``(rk, pos, size, n, leaf, tpl)``, and the templates ``tpl`` that recur.
+    """Lines ``(rk, pos, size, shape, n, leaf, tpl)``, and the templates ``tpl`` that recur.
 
     Equal texts count as one document. Recurrence is counted over all documents.
     """
-    lines = _lines(df, text)
-    keys = stage(lines.select("rk", "pos", "size", "n", "leaf", "tpl"), "line-keys")
+    keys = stage(_lines(df, text), "line-keys")
     per_tpl = keys.select("leaf", "n", "tpl", "rk").distinct().groupBy("leaf", "n", "tpl").agg(F.count(F.lit(1)).alias("docs"))
     per_tpl = stage(per_tpl, "line-templates")
     exact = per_tpl.where(F.col("docs") >= min_docs).select("tpl")
 
-    leaves = per_tpl.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1))
-    varied = per_tpl.where(F.col("n") > DEPTH).join(leaves, "leaf")
-    shapes = lines.where(F.col("n") > DEPTH).select("tpl", "shape").join(varied.select("tpl"), "tpl", "left_semi").groupBy("tpl").agg(F.first("shape").alias("shape"))
+    leaves = per_tpl.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    # written first, so its size is known and decides how the lines meet it
+    leaves = stage(leaves.where((F.col("total") >= min_docs) & (F.col("kinds") > 1)), "line-leaves")
+    varied = per_tpl.join(leaves, "leaf")
+    shapes = keys.join(leaves, "leaf", "left_semi").select("tpl", "shape").distinct()
     tokens = varied.join(shapes, "tpl").select("leaf", "n", "tpl", "docs", "total", F.posexplode(F.split("shape", " ")).alias("at", "token"))
     tokens = stage(tokens, "line-tokens")
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("same"), F.max("total").alias("total"), F.max("n").alias("n")).where(F.col("same") >= AGREE * F.col("total"))
