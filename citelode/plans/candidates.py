@@ -40,12 +40,13 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str, words: tuple[str, ...] = ("the", "and", "tion", "la")) -> DataFrame:
-    """Pages deduplicated by address and ranked for a few keywords, as candidates with their final rank."""
-    docs = page_documents(spark, sf_dir)
-    insert = F.row_number().over(Window.orderBy("page_id")) - 1
-    docs = docs.withColumn("run_id", F.lit(1).cast("long")).withColumn("insert_idx", insert)
+    """Pages deduplicated by address and ranked for a few keywords, as candidates with their final rank.
+
+    Each of eight sources is a run of its own.
+    """
+    docs = page_documents(spark, sf_dir).withColumn("run_id", F.col("page_id") % 8).withColumn("insert_idx", F.col("page_id"))
     docs = docs.withColumn("source_ranks", F.array(F.struct("source", F.col("rank_in_source").alias("rank"))))
-    keywords = spark.range(1).select(F.lit(1).cast("long").alias("run_id"), F.explode(F.array(*[F.lit(w) for w in words])).alias("keyword"))
+    keywords = spark.range(8).select(F.col("id").alias("run_id"), F.explode(F.array(*[F.lit(w) for w in words])).alias("keyword"))
     out = rank.final_rank(rank.flag_rejects(rank.rank_candidates(docs, keywords)))
     numbers = [F.round(c, 6).alias(c) for c in ("tfidf", "rrf", "authority", "score")]
     return out.select("page_id", "title", "url", "source", *numbers, "status", "reject_reason", "final_rank")

@@ -68,36 +68,40 @@ SELECT term, df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0))
 def q_idf(spark, sf_dir):
     """Smoothed inverse document frequency of every token."""
     docs = table(spark, sf_dir, "documents")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
     freq = rank.document_frequency(docs, [], text.tokenize(F.col("text")))
-    return freq.crossJoin(F.broadcast(n)).select("term", "df", six(rank.idf(F.col("n"), F.col("df"))).alias("idf"))
+    return freq.select("term", "df", six(rank.idf(F.lit(docs.count()), F.col("df"))).alias("idf"))
 
 
 _KEYWORDS = ("the", "and", "the", "nicht", "que", "tion")
 _RANK_SQL = f"""
 {_DOCS_SQL},
 q AS (SELECT term, count(*) AS q FROM (VALUES {", ".join(f"('{k}')" for k in _KEYWORDS)}) t(term) GROUP BY term),
-tok AS (SELECT doc_id, unnest({_TOKENS.format('title')}) AS term, 3 AS w FROM docs UNION ALL SELECT doc_id, unnest({_TOKENS.format('text')}), 1 FROM docs),
-tf AS (SELECT doc_id, term, sum(w) AS tf, any_value(q.q) AS q FROM tok JOIN q USING (term) GROUP BY doc_id, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT doc_id, sum(tf * q * (ln(((SELECT count(*) FROM docs) + 1.0) / (df + 1.0)) + 1.0)) AS tfidf FROM tf JOIN df USING (term) GROUP BY doc_id),
+tok AS (SELECT doc_id, source, unnest({_TOKENS.format('title')}) AS term, 3 AS w FROM docs UNION ALL SELECT doc_id, source, unnest({_TOKENS.format('text')}), 1 FROM docs),
+tf AS (SELECT doc_id, source, term, sum(w) AS tf, any_value(q.q) AS q FROM tok JOIN q USING (term) GROUP BY doc_id, source, term),
+df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY source, term), n AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
+sc AS (SELECT doc_id, sum(tf * q * (ln((n + 1.0) / (df + 1.0)) + 1.0)) AS tfidf FROM tf JOIN df USING (source, term) JOIN n USING (source) GROUP BY doc_id),
 ranked AS (SELECT d.doc_id, d.source, coalesce(tfidf, 0.0) AS tfidf, 1.0 / (60.0 + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id)) AS rrf
   FROM docs d LEFT JOIN sc USING (doc_id)),
-flagged AS (SELECT *, (tfidf + 0.001) * (rrf + 0.001) AS score, greatest(0.05, 0.02 * max(tfidf) OVER ()) AS cut, max(tfidf) OVER () AS top FROM ranked)"""
+flagged AS (SELECT *, (tfidf + 0.001) * (rrf + 0.001) AS score, greatest(0.05, 0.02 * max(tfidf) OVER (PARTITION BY source)) AS cut, max(tfidf) OVER (PARTITION BY source) AS top FROM ranked)"""
+
+
+def _run_of(source: str) -> Column:
+    """The number in a source's name."""
+    return F.substring(source, 4, 10).cast("long")
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one run, ranked for fixed keywords; each source lists its documents by id."""
+    """Documents ranked for fixed keywords, each source a run of its own that lists them by id."""
     d = _docs(spark, sf_dir)
     number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     merged = d.select(
-        F.lit(1).cast("long").alias("run_id"), F.col("doc_id").alias("insert_idx"), "title", F.col("text").alias("abstract"), F.lit("").alias("url"), F.array(F.struct(F.col("source"), number.alias("rank"))).alias("source_ranks")
+        _run_of("source").alias("run_id"), F.col("doc_id").alias("insert_idx"), "title", F.col("text").alias("abstract"), F.lit("").alias("url"), F.array(F.struct(F.col("source"), number.alias("rank"))).alias("source_ranks")
     )
-    words = spark.range(1).select(F.lit(1).cast("long").alias("run_id"), F.explode(F.array(*[F.lit(k) for k in _KEYWORDS])).alias("keyword"))
+    words = merged.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(k) for k in _KEYWORDS])).alias("keyword"))
     return rank.rank_candidates(merged, words)
 
 
-@register(f"WITH {_RANK_SQL} SELECT doc_id, round(tfidf, 6) AS tfidf, round(rrf, 9) AS rrf, row_number() OVER (ORDER BY score DESC, rrf DESC, doc_id) AS pos FROM flagged")
+@register(f"WITH {_RANK_SQL} SELECT doc_id, round(tfidf, 6) AS tfidf, round(rrf, 9) AS rrf, row_number() OVER (PARTITION BY source ORDER BY score DESC, rrf DESC, doc_id) AS pos FROM flagged")
 def q_tfidf_rank(spark, sf_dir):
     """Title-boosted TF-IDF, fusion and place of every document."""
     return _ranked(spark, sf_dir).select(F.col("insert_idx").alias("doc_id"), six("tfidf").alias("tfidf"), F.round("rrf", 9).alias("rrf"), F.col("pos").cast("long").alias("pos"))
@@ -110,17 +114,17 @@ def q_flag_rejects(spark, sf_dir):
     return rank.flag_rejects(_ranked(spark, sf_dir)).select(F.col("insert_idx").alias("doc_id"), six("tfidf").alias("tfidf"), "reject_reason")
 
 
-@register(f"""WITH {_RANK_SQL}, s AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, rrf DESC, doc_id) AS pos, NOT (top > 0 AND tfidf < cut) AS kept FROM flagged)
-SELECT doc_id, CASE WHEN kept THEN 'kept' ELSE 'rejected' END AS status, CASE WHEN kept THEN CAST(sum(CAST(kept AS INT)) OVER (ORDER BY pos) AS INT) END AS final_rank FROM s""")
+@register(f"""WITH {_RANK_SQL}, s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY score DESC, rrf DESC, doc_id) AS pos, NOT (top > 0 AND tfidf < cut) AS kept FROM flagged)
+SELECT doc_id, CASE WHEN kept THEN 'kept' ELSE 'rejected' END AS status, CASE WHEN kept THEN CAST(sum(CAST(kept AS INT)) OVER (PARTITION BY source ORDER BY pos) AS INT) END AS final_rank FROM s""")
 def q_final_rank(spark, sf_dir):
     """Place of every document among those kept."""
     return rank.final_rank(rank.flag_rejects(_ranked(spark, sf_dir))).select(F.col("insert_idx").alias("doc_id"), "status", "final_rank")
 
 
-@register(f"""WITH {_RANK_SQL} SELECT count(*) AS total, count(*) FILTER (NOT (top > 0 AND tfidf < cut)) AS kept, count(*) FILTER (top > 0 AND tfidf < cut) AS rejected FROM flagged""")
+@register(f"""WITH {_RANK_SQL} SELECT CAST(substr(source, 4) AS BIGINT) AS run_id, count(*) AS total, count(*) FILTER (NOT (top > 0 AND tfidf < cut)) AS kept, count(*) FILTER (top > 0 AND tfidf < cut) AS rejected FROM flagged GROUP BY source""")
 def q_keep_totals(spark, sf_dir):
-    """Documents kept and rejected."""
-    return rank.totals(rank.flag_rejects(_ranked(spark, sf_dir))).drop("run_id")
+    """Documents kept and rejected in each run."""
+    return rank.totals(rank.flag_rejects(_ranked(spark, sf_dir)))
 
 
 @register(f"""WITH {_DOCS_SQL}, r AS (SELECT item, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM docs)
@@ -336,17 +340,17 @@ def q_dedup_relational(spark, sf_dir):
 
 
 @register("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = (SELECT min(vec_id) FROM e)),
-s AS (SELECT vec_id, 1.0 / (1 + vec_id % 97) AS lex, list_cosine_similarity(v, qv) AS cs FROM e, q),
-p AS (SELECT *, row_number() OVER (ORDER BY lex DESC, vec_id) AS pos FROM s), h AS (SELECT *, pos <= 125 AS head FROM p),
-b AS (SELECT vec_id, pos, head, CASE WHEN head THEN 0.6 * (lex - min(lex) OVER (PARTITION BY head)) / (max(lex) OVER (PARTITION BY head) - min(lex) OVER (PARTITION BY head)) + 0.4 * least(greatest(cs, 0.0), 1.0) ELSE lex END AS score FROM h)
-SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY head DESC, CASE WHEN head THEN score END DESC, pos) AS pos FROM b""")
+s AS (SELECT vec_id, label, 1.0 / (1 + vec_id % 97) AS lex, list_cosine_similarity(v, qv) AS cs FROM e, q),
+p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lex DESC, vec_id) AS pos FROM s), h AS (SELECT *, pos <= 20 AS head FROM p),
+b AS (SELECT vec_id, label, pos, head, CASE WHEN head THEN 0.6 * (lex - min(lex) OVER (PARTITION BY label, head)) / (max(lex) OVER (PARTITION BY label, head) - min(lex) OVER (PARTITION BY label, head)) + 0.4 * least(greatest(cs, 0.0), 1.0) ELSE lex END AS score FROM h)
+SELECT vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY head DESC, CASE WHEN head THEN score END DESC, pos) AS pos FROM b""")
 def q_semantic_rerank(spark, sf_dir):
-    """Vectors re-sorted by a made-up lexical score blended with the cosine to the first."""
+    """Vectors of each label re-sorted by a made-up lexical score blended with the cosine to the first vector."""
     e = table(spark, sf_dir, "embeddings")
-    one = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    r = e.crossJoin(F.broadcast(one)).select(F.lit(1).alias("run_id"), "vec_id", (1.0 / (1 + F.col("vec_id") % 97)).alias("score"), rerank.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    asked = F.array(*[F.lit(float(x)) for x in e.orderBy("vec_id").select("embedding").first().embedding])
+    r = e.select(F.col("label").alias("run_id"), "vec_id", (1.0 / (1 + F.col("vec_id") % 97)).alias("score"), rerank.cosine(F.col("embedding"), asked).alias("cosine"))
     r = r.withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "vec_id")))
-    return rerank.semantic_rerank(r).select("vec_id", six("score").alias("score"), F.col("pos").cast("long").alias("pos"))
+    return rerank.semantic_rerank(r, F.lit(20)).select("vec_id", six("score").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
 @register("""WITH k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doc_id % 5 = 0 AS bad FROM documents),
@@ -362,16 +366,17 @@ def q_llm_band(spark, sf_dir):
     return rerank.llm_filter(k, v).select(F.col("url").alias("doc_id"), "reject_reason")
 
 
-@register("""WITH p AS (SELECT p_partkey, '10.1234/p' || p_partkey AS doi, 1000.0 / (1 + p_partkey % 331) AS score, row_number() OVER (ORDER BY 1000.0 / (1 + p_partkey % 331) DESC, p_partkey) AS pos FROM part),
+@register("""WITH p AS (SELECT p_partkey, p_size % 5 AS run, '10.1234/p' || p_partkey AS doi, 1000.0 / (1 + p_partkey % 331) AS score, row_number() OVER (PARTITION BY p_size % 5 ORDER BY 1000.0 / (1 + p_partkey % 331) DESC, p_partkey) AS pos FROM part),
 e AS (SELECT '10.1234/p' || a.l_partkey AS src, '10.1234/p' || b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
-h AS (SELECT dst AS doi, count(*) AS hits FROM e WHERE src <> dst AND src IN (SELECT doi FROM p WHERE pos <= 30) GROUP BY dst),
-b AS (SELECT p_partkey, pos, CASE WHEN pos <= 30 THEN least(coalesce(hits, 0), 5) ELSE 0 END AS hits, score * (1 + 0.1 * CASE WHEN pos <= 30 THEN least(coalesce(hits, 0), 5) ELSE 0 END) AS score FROM p LEFT JOIN h USING (doi))
-SELECT p_partkey, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, pos) AS pos FROM b""")
+h AS (SELECT p.run, dst AS doi, count(*) AS hits FROM e JOIN p ON p.doi = e.src AND p.pos <= 30 WHERE src <> dst GROUP BY ALL),
+b AS (SELECT p_partkey, run, pos, score * (1 + 0.1 * CASE WHEN pos <= 30 THEN least(coalesce(hits, 0), 5) ELSE 0 END) AS score FROM p LEFT JOIN h USING (run, doi))
+SELECT p_partkey, round(score, 6) AS score, row_number() OVER (PARTITION BY run ORDER BY score DESC, pos) AS pos FROM b""")
 def q_citation_boost(spark, sf_dir):
-    """Parts as documents, raised where one of the first thirty stands beside them in an order."""
-    p = table(spark, sf_dir, "part").select(F.lit(1).alias("run_id"), "p_partkey", F.concat(F.lit("10.1234/p"), F.col("p_partkey").cast("string")).alias("identifier"), F.lit("").alias("url"), (1000.0 / (1 + F.col("p_partkey") % 331)).alias("score"))
+    """Parts as documents of five runs, raised where one of a run's first thirty stands beside them in an order."""
+    doi = lambda c: F.concat(F.lit("10.1234/p"), F.col(c).cast("string"))
+    p = table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("run_id"), "p_partkey", doi("p_partkey").alias("identifier"), F.lit("").alias("url"), (1000.0 / (1 + F.col("p_partkey") % 331)).alias("score"))
     p = p.withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "p_partkey"))).withColumn("tfidf", F.lit(1.0)).withColumn("authority", F.lit(1.0)).withColumn("reject_reason", F.lit(None).cast("string"))
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("10.1234/p"), F.col("l_partkey").cast("string")).alias("doi"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", doi("l_partkey").alias("doi"))
     after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("doi").alias("dst_doi"))
     edges = li.withColumnRenamed("doi", "src_doi").join(after, ["l_orderkey", "l_linenumber"]).select("src_doi", "dst_doi")
     return rerank.citation_boost(p, edges).select("p_partkey", six("score").alias("score"), F.col("pos").cast("long").alias("pos"))
@@ -573,11 +578,11 @@ def q_library_summary(spark, sf_dir):
     return library.library_summary(runs, docs)
 
 
-@register("SELECT c_custkey, c_name AS title, row_number() OVER (ORDER BY translate(c_mktsegment || c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_custkey) AS place FROM customer WHERE c_custkey % 3 <> 0")
+@register("SELECT c_custkey, c_name AS title, row_number() OVER (PARTITION BY c_nationkey ORDER BY translate(c_mktsegment || c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_custkey) AS place FROM customer WHERE c_custkey % 3 <> 0")
 def q_library_docs(spark, sf_dir):
-    """Documents with a stored file, in title order."""
+    """Documents of each library with a stored file, in title order."""
     d = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
-    order = Window.orderBy(library.ascii_lower(F.concat("c_mktsegment", "c_name")), "c_custkey")
+    order = Window.partitionBy("c_nationkey").orderBy(library.ascii_lower(F.concat("c_mktsegment", "c_name")), "c_custkey")
     return d.select("c_custkey", F.col("c_name").alias("title"), F.row_number().over(order).cast("long").alias("place"))
 
 
@@ -773,14 +778,14 @@ _FLAG_WORDS = ("the", "and", "tion", "la")
 @register(f"""WITH k AS (SELECT *, {_URL_KEY_SQL} AS uk FROM pages QUALIFY row_number() OVER (PARTITION BY uk ORDER BY page_id) = 1),
 docs AS (SELECT page_id, url, {_TITLE_SQL} AS title, substr({_STRIP_SQL}, 1, 2000) AS abstract, 's' || (page_id % 8) AS source, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) AS rk, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM k),
 q AS (SELECT unnest(list_value({', '.join(repr(w) for w in _FLAG_WORDS)})) AS term),
-tok AS (SELECT page_id, unnest({_TOKENS.format('title')}) AS term, 3 AS w FROM docs UNION ALL SELECT page_id, unnest({_TOKENS.format('abstract')}), 1 FROM docs),
-tf AS (SELECT page_id, term, sum(w) AS tf FROM tok JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT page_id, sum(tf * (ln(((SELECT count(*) FROM docs) + 1.0) / (df + 1.0)) + 1.0)) AS tfidf FROM tf JOIN df USING (term) GROUP BY page_id),
+tok AS (SELECT page_id, source, unnest({_TOKENS.format('title')}) AS term, 3 AS w FROM docs UNION ALL SELECT page_id, source, unnest({_TOKENS.format('abstract')}), 1 FROM docs),
+tf AS (SELECT page_id, source, term, sum(w) AS tf FROM tok JOIN q USING (term) GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM docs GROUP BY ALL),
+sc AS (SELECT page_id, sum(tf * (ln((n + 1.0) / (df + 1.0)) + 1.0)) AS tfidf FROM tf JOIN df USING (source, term) JOIN n USING (source) GROUP BY page_id),
 r AS (SELECT d.*, coalesce(tfidf, 0.0) AS tfidf, 1.0 / (60.0 + rk) AS rrf, {_AUTHORITY_SQL} AS authority FROM docs d LEFT JOIN sc USING (page_id)),
-s AS (SELECT *, (tfidf + 0.001) * (rrf + 0.001) * authority AS score, max(tfidf) OVER () AS top, greatest(0.05, 0.02 * max(tfidf) OVER ()) AS cut FROM r),
-f AS (SELECT *, CASE WHEN top > 0 AND tfidf < cut THEN 'TF-IDF ' || printf('%.2f', tfidf) || ' below cutoff ' || printf('%.2f', cut) END AS reject_reason, row_number() OVER (ORDER BY score DESC, rrf DESC, authority DESC, page_id) AS pos FROM s)
+s AS (SELECT *, (tfidf + 0.001) * (rrf + 0.001) * authority AS score, max(tfidf) OVER (PARTITION BY source) AS top, greatest(0.05, 0.02 * max(tfidf) OVER (PARTITION BY source)) AS cut FROM r),
+f AS (SELECT *, CASE WHEN top > 0 AND tfidf < cut THEN 'TF-IDF ' || printf('%.2f', tfidf) || ' below cutoff ' || printf('%.2f', cut) END AS reject_reason, row_number() OVER (PARTITION BY source ORDER BY score DESC, rrf DESC, authority DESC, page_id) AS pos FROM s)
 SELECT page_id, title, url, source, round(tfidf, 6) AS tfidf, round(rrf, 6) AS rrf, CAST(round(authority, 6) AS DOUBLE) AS authority, round(score, 6) AS score, CASE WHEN reject_reason IS NULL THEN 'kept' ELSE 'rejected' END AS status, reject_reason,
-CASE WHEN reject_reason IS NULL THEN CAST(count(*) FILTER (reject_reason IS NULL) OVER (ORDER BY pos) AS INT) END AS final_rank FROM f""")
+CASE WHEN reject_reason IS NULL THEN CAST(count(*) FILTER (reject_reason IS NULL) OVER (PARTITION BY source ORDER BY pos) AS INT) END AS final_rank FROM f""")
 def q_flagship(spark, sf_dir):
     """Pages deduplicated, ranked, flagged and placed in one plan."""
     return candidates.flagship(spark, sf_dir, _FLAG_WORDS)
