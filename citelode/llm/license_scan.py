@@ -72,7 +72,10 @@ def bands_of(length: int) -> int:
 
 
 def cue_words(templates: dict[str, str]) -> list[str]:
-    """Few words of which one stands in more than a fifth of each template's shingles."""
+    """Few words of which one stands in more than a fifth of each template's shingles.
+
+    Words of seven letters or more, which general text seldom holds, where they suffice.
+    """
     shingles = {k: [set(s.split()) for s in shingle_list(words_of(t))] for k, t in templates.items()}
     cues: set[str] = set()
 
@@ -82,9 +85,9 @@ def cue_words(templates: dict[str, str]) -> list[str]:
     while left := lacking():
         share: dict[str, float] = {}
         for k in left:
-            for w in set().union(*shingles[k]):
-                if len(w) > 3:
-                    share[w] = share.get(w, 0) + sum(w in s and not s & cues for s in shingles[k]) / len(shingles[k])
+            words = set().union(*shingles[k])
+            for w in [w for w in words if len(w) >= 7 and w not in cues] or words:
+                share[w] = share.get(w, 0) + sum(w in s and not s & cues for s in shingles[k]) / len(shingles[k])
         cues.add(max(sorted(share), key=lambda w: share[w]))
     return sorted(cues)
 
@@ -116,7 +119,10 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc
     # templates by bands, a fixed number of rows
     known = known.select("license", "length", "th", F.posexplode(signature("th", "length")).alias("band", "value"))
 
-    docs = df.where(F.lower(text).rlike("|".join(cues))).select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)).alias("w"))
+    has_cue = F.lit(False)
+    for cue in cues:
+        has_cue = has_cue | F.contains(F.lower(text), F.lit(cue))
+    docs = df.where(has_cue).select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)).alias("w"))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(cues))
     docs = docs.where(F.size("w") >= WORDS).withColumn("cue", at)
     starts = F.array_distinct(F.flatten(F.transform("cue", lambda c: F.array((c / F.col("length")).cast("int"), (c / F.col("length")).cast("int") - 1))))
