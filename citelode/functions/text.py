@@ -122,6 +122,7 @@ def clean_title(x: Column, native: bool = False) -> Column:
 def strip_html(x: Column, native: bool = False) -> Column:
     """Text of a page: scripts and styles out, block tags as line feeds, references decoded."""
     out = x
+    # The tags that go with their content, and those that begin or end a line.
     for tag in ("script", "style", "noscript"):
         out = F.regexp_replace(out, rf"(?is)<\s*{tag}\b[^>]*>.*?<\s*/\s*{tag}\s*>", "")
     out = F.regexp_replace(out, r"(?i)<\s*(p|div|br|h[1-6]|li|tr|section|article|header|footer|hr|blockquote)\b[^>]*/?>", "\n")

@@ -53,6 +53,7 @@ def authority_multiplier(url: Column) -> Column:
 
 def extract_doi(x: Column) -> Column:
     """First DOI in a text, lower case, without the suffixes that links add to it; null if none."""
+    # The form of a DOI and the suffixes.
     raw = F.lower(F.regexp_extract(F.coalesce(x, F.lit("")), r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1))
     bare = F.regexp_replace(F.regexp_replace(raw, r"[.,);]+$", ""), r"(?:\.(?:full|abstract|pdf|html|xml)|\.)+$", "")
     return F.when(raw != "", bare)
