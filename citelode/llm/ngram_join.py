@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import connected_components, hash_words, mix64, stage, union_find, words_of
+from citelode.llm.common import connected_components, hash_words, mix64, release, stage, union_find, words_of
 
 #: Documents of a family in one block; two blocks meet in one task.
 BLOCK = 1024
@@ -152,35 +152,13 @@ def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, perc
     return (a, b + cut) if right else (a[a < b], b[a < b])
 
 
-def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per row: ``key``, ``n_shingles`` (size of its set) and ``component_id``.
+def _meetings(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Stars ``(a, b)`` between classes that have a fragment in common, written to the shared folder.
 
-    Words are maximal runs of other than space and U+0009-U+000D, A-Z lower-cased; a set holds
-    the distinct ``n``-word shingles of the whole text, or the whole sequence where there are
-    fewer words. Rows link when ``100 * intersection >= percent * union``; ``component_id`` is
-    the smallest key reachable. Null and empty texts have an empty set and link with nothing;
-    rows with a null key link with nothing and get a null component, unless their set equals
-    another's. Rows that share a key are one node. Sets, fragments and shingles are told apart
-    by 64-bit hashes. Extra columns are ignored.
+    The fragments are made from the texts again rather than stored beside the sets, and their
+    shuffle can go as soon as the stars are written.
     """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_class(s) for s in sets], pa.int64()),
-                    pa.array([fragment_keys(s, percent).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                names=["id", "n", "cls", "keys"],
-            )
-
-    read_schema = "id long, n long, cls long, keys binary"
-    sets = stage(docs.mapInArrow(read, read_schema), "ngram-sets")
-    entries = sets.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
+    entries = sets.agg(F.sum(F.col("n") * ((100 - percent) / percent) * CLASS_FACTOR + 4)).first()[0] or 0
     parts = max(64, int(entries // PACK) + 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +187,11 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
             )
 
         for batch in batches:
-            for cls, raw in zip(batch.column("cls"), batch.column("keys"), strict=True):
-                if cls.is_valid:
-                    keys = np.frombuffer(raw.as_buffer(), np.uint64)
-                    held.append((keys, np.full(len(keys), cls.as_py(), np.int64)))
+            for t in batch.column("text"):
+                grams = shingles(t.as_py(), n)
+                if len(grams):
+                    keys = fragment_keys(grams, percent)
+                    held.append((keys, np.full(len(keys), set_class(grams), np.int64)))
                     count += len(keys)
                 if count >= PACK:
                     yield from flush()
@@ -228,8 +207,31 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
         return pd.DataFrame({"a": a, "b": b})
 
     # The rows of part -1 are finished edges: dealt over salts, they never meet in one task.
-    packed = sets.select("cls", "keys").mapInArrow(pack, "part int, a binary, b binary").withColumn("salt", F.when(F.col("part") < 0, F.pmod(F.xxhash64("a"), F.lit(256))).otherwise(0))
-    edges = packed.groupBy("part", "salt").applyInPandas(lambda rows: tie(rows), "a long, b long")
+    packed = texts.mapInArrow(pack, "part int, a binary, b binary").withColumn("salt", F.when(F.col("part") < 0, F.pmod(F.xxhash64("a"), F.lit(256))).otherwise(0))
+    return stage(packed.groupBy("part", "salt").applyInPandas(lambda rows: tie(rows), "a long, b long").distinct(), "ngram-edges")
+
+
+def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Per row: ``key``, ``n_shingles`` (size of its set) and ``component_id``.
+
+    Words are maximal runs of other than space and U+0009-U+000D, A-Z lower-cased; a set holds
+    the distinct ``n``-word shingles of the whole text, or the whole sequence where there are
+    fewer words. Rows link when ``100 * intersection >= percent * union``; ``component_id`` is
+    the smallest key reachable. Null and empty texts have an empty set and link with nothing;
+    rows with a null key link with nothing and get a null component, unless their set equals
+    another's. Rows that share a key are one node. Sets, fragments and shingles are told apart
+    by 64-bit hashes. Extra columns are ignored.
+    """
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())], names=["id", "n", "cls"])
+
+    sets = stage(docs.mapInArrow(read, "id long, n long, cls long"), "ngram-sets")
+    edges = _meetings(docs.select("text"), sets, n, percent)
+    release(edges.sparkSession)
     families = stage(connected_components(edges, "ngram-families"), "ngram-family")
 
     first = sets.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
