@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ _LOWER = bytes(range(97, 123))
 LOWER_TABLE = bytes.maketrans(_UPPER, _LOWER)
 
 _OWN_DIR: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,24 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts the lineage: executors lost later make no one recompute what stands before.
+    Cuts the lineage: executors lost later make no one recompute what stands before, and the
+    shuffle files of what was written go at once instead of at the driver's next collection.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more.
-
-    Its cleaner waits for the driver's garbage collection, which a job that mostly shuffles may
-    not see for long; the files would stay on the executors' disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, the same in every process."""
     if not words:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import connected_components, hash_words, mix64, release, stage, union_find, words_of
+from citelode.llm.common import connected_components, hash_words, mix64, stage, union_find, words_of
 
 #: Documents of a family in one block; two blocks meet in one task.
 BLOCK = 1024
@@ -156,7 +156,7 @@ def _meetings(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFr
     """Stars ``(a, b)`` between classes that have a fragment in common, written to the shared folder.
 
     The fragments are made from the texts again rather than stored beside the sets, and their
-    shuffle can go as soon as the stars are written.
+    shuffle goes as soon as the stars are written.
     """
     entries = sets.agg(F.sum(F.col("n") * ((100 - percent) / percent) * CLASS_FACTOR + 4)).first()[0] or 0
     parts = max(64, int(entries // PACK) + 1)
@@ -231,7 +231,6 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
 
     sets = stage(docs.mapInArrow(read, "id long, n long, cls long"), "ngram-sets")
     edges = _meetings(docs.select("text"), sets, n, percent)
-    release(edges.sparkSession)
     families = stage(connected_components(edges, "ngram-families"), "ngram-family")
 
     first = sets.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
