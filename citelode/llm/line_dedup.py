@@ -19,7 +19,7 @@ DEPTH = 3
 MIN_DOCS = 10
 #: Share of a leaf's lines that make a position constant, and of positions that must be.
 AGREE, CONSTANT = 0.8, 0.6
-#: A document that would lose more than this share of its characters stays whole.
+#: A document with more than this share of its characters in recurring lines may be a copy.
 MOST = 0.5
 
 
@@ -41,14 +41,14 @@ def _lines(df: DataFrame, text: str) -> DataFrame:
 
 
 def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Lines ``(rk, pos, size, shape, n, leaf, tpl)``, and the templates ``tpl`` that recur.
+    """Lines ``(rk, pos, size, shape, n, leaf, tpl)``, and the masked lines ``tpl`` of each template ``grp`` that recurs.
 
     Equal texts count as one document. Recurrence is counted over all documents.
     """
     keys = stage(_lines(df, text), "line-keys")
     per_tpl = keys.select("leaf", "n", "tpl", "rk").distinct().groupBy("leaf", "n", "tpl").agg(F.count(F.lit(1)).alias("docs"))
     per_tpl = stage(per_tpl, "line-templates")
-    exact = per_tpl.where(F.col("docs") >= min_docs).select("tpl")
+    exact = per_tpl.where(F.col("docs") >= min_docs).select("tpl", F.col("tpl").alias("grp"))
 
     leaves = per_tpl.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds"))
     # written first, so its size is known and decides how the lines meet it
@@ -62,24 +62,47 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
     agree = tokens.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "tpl").agg(F.count(F.lit(1)).alias("own"), F.max("docs").alias("docs"))
     agree = agree.join(enough, "leaf").where("own = fixed")
     full = agree.groupBy("leaf").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-    general = agree.join(full, "leaf", "left_semi").select("tpl")
+    general = agree.join(full, "leaf", "left_semi").select("tpl", F.col("leaf").alias("grp"))
     return keys, stage(exact.unionByName(general).distinct(), "line-recurring")
 
 
-def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, most: float = MOST) -> DataFrame:
+def _framing(keys: DataFrame, found: DataFrame, sizes: DataFrame, min_docs: int, most: float) -> DataFrame:
+    """The templates of ``found`` that recur when a family of copies counts as one document.
+
+    A document of which more than ``most`` is recurring lines belongs to the family of its
+    longest recurring template; any other is a family of its own.
+    """
+    hit = stage(keys.join(found, "tpl").select("rk", "pos", "size", "tpl", "grp"), "line-hits")
+    lines = hit.groupBy("rk", "pos").agg(F.max("size").alias("size"), F.min("grp").alias("grp"))
+    docs = lines.groupBy("rk").agg(F.sum("size").alias("held"), F.max(F.struct("size", "grp")).alias("longest")).join(sizes, "rk")
+    family = docs.select("rk", F.when(F.col("held") > most * F.col("chars"), F.col("longest.grp")).otherwise(F.col("rk")).alias("family"))
+    members = hit.select("rk", "grp").distinct().join(family, "rk").select("grp", "family").distinct()
+    framing = members.groupBy("grp").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= min_docs)
+    return hit.join(framing, "grp", "left_semi")
+
+
+def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, most: float = MOST, whole: bool = False) -> DataFrame:
     """All rows and columns of ``df``, ``text`` without recurring lines; ``n_lines``, ``n_dropped`` added.
 
-    Lines end at line feeds; blank ones stay. Every occurrence of a recurring template goes, so
-    equal texts stay equal. A document of which more than ``most`` (characters) would go stays
-    whole: it is a copy, left to the removal of near duplicates. Null and empty texts stay, with
-    no lines and one. Repeated rows fare alike; keys play no part. ``df`` must not hold the new
-    names.
+    Lines end at line feeds; blank ones stay. Every occurrence of a recurring template goes,
+    whatever share of a document that is, so equal texts stay equal. Near copies don't make
+    their own lines recur: documents of which more than ``most`` (characters) recurs count as
+    one for each longest template among them. With ``whole`` they all count instead, and each
+    such document stays whole. Null and empty texts stay, with no lines and one. Repeated rows
+    fare alike; keys play no part. ``df`` must not hold the new names.
     """
-    keys, gone = recurring(df, text, min_docs)
-    hit = keys.join(gone, "tpl").groupBy("rk", "pos").agg(F.max("size").alias("size"))
+    keys, found = recurring(df, text, min_docs)
+    if whole:
+        hit = keys.join(found.select("tpl").distinct(), "tpl")
+    else:
+        sizes = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("rk"), F.length(text).alias("chars")).distinct()
+        hit = _framing(keys, found, sizes, min_docs, most)
+    hit = hit.groupBy("rk", "pos").agg(F.max("size").alias("size"))
     hit = hit.groupBy("rk").agg(F.collect_list("pos").alias("__gone"), F.sum("size").alias("__size")).withColumnRenamed("rk", "__rk")
     rows = df.withColumn("__rk", F.when(F.col(text).isNotNull(), F.xxhash64(text))).join(hit, "__rk", "left")
-    cut = F.col("__gone").isNotNull() & (F.col("__size") <= most * F.length(text))
+    cut = F.col("__gone").isNotNull()
+    if whole:
+        cut = cut & (F.col("__size") <= most * F.length(text))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))))
     rows = rows.withColumn("n_dropped", F.when(cut, F.size("__gone")).otherwise(0)).withColumn(text, F.when(cut, kept).otherwise(F.col(text)))

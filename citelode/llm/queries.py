@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines of recurring templates, as a digest."""
-    out = line_dedup.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without lines of recurring templates, as a digest; mostly recurring ones whole, as its SQL has them."""
+    out = line_dedup.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -73,6 +73,18 @@ def test_line_dedup_leaves_mostly_recurring_documents_whole(spark):
     assert {r.n_dropped for r in line_dedup.drop_recurring(documents(spark, rows)).collect()} == {0}
 
 
+def test_line_dedup_drops_frames_from_short_documents(spark):
+    rng = random.Random(SEED)
+    head, foot = prose(rng, 12), prose(rng, 12)
+    rows = [(i, f"{head}\n{prose(rng, 200)}\n{foot}") for i in range(15)]
+    rows += [(100 + i, f"{head}\n{prose(rng, 3)}\n{foot}") for i in range(5)]  # mostly frame
+    copied = [prose(rng, 20) for _ in range(10)]
+    rows += [(200 + i, "\n".join([head, *copied[:i % 10], prose(rng, 20), *copied[i % 10 + 1 :]])) for i in range(30)]  # a family of near copies
+    out = {r.doc_id: r for r in line_dedup.drop_recurring(documents(spark, rows), most=0.3).collect()}
+    for i, t in rows:
+        assert out[i].text.split("\n") == [x for x in t.split("\n") if x not in (head, foot)]
+
+
 def test_line_dedup_edges(spark):
     rows = [(*r, "x") for r in edge_rows()]
     out = line_dedup.drop_recurring(documents(spark, rows, "doc_id long, text string, size string"))
