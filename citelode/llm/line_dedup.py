@@ -4,7 +4,7 @@ A line's tokens that hold a digit become ``<*>``. The tree has a fixed depth: to
 then the leading tokens; its leaves hold the masked lines. A masked line that recurs across
 documents is a template. Below a leaf, other fields vary without a digit: a position whose token
 is the same in nearly all of the leaf's lines is constant, the others are ``<*>``; where
-enough positions are constant, the lines that agree with all of them share the leaf's template.
+enough positions beyond the leading ones are constant, the lines that agree with all of them share the leaf's template.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from citelode.llm.common import stage
 DEPTH = 3
 #: Distinct texts that a template must occur in.
 MIN_DOCS = 10
-#: Share of a leaf's lines that make a position constant, and of positions that must be.
+#: Share of a leaf's lines that make a position constant, and of positions beyond the leading
+#: tokens that must be.
 AGREE, CONSTANT = 0.8, 0.6
 #: A document with more than this share of its characters in recurring lines may be a copy.
 MOST = 0.5
@@ -58,7 +59,7 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
     tokens = varied.join(shapes, "tpl").select("leaf", "n", "tpl", "docs", "total", F.posexplode(F.split("shape", " ")).alias("at", "token"))
     tokens = stage(tokens, "line-tokens")
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("same"), F.max("total").alias("total"), F.max("n").alias("n")).where(F.col("same") >= AGREE * F.col("total"))
-    enough = constant.groupBy("leaf").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n")).where(F.col("fixed") >= CONSTANT * F.col("n")).select("leaf", "fixed")
+    enough = constant.groupBy("leaf").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n")).where(F.col("fixed") - DEPTH >= CONSTANT * (F.col("n") - DEPTH)).select("leaf", "fixed")
     agree = tokens.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "tpl").agg(F.count(F.lit(1)).alias("own"), F.max("docs").alias("docs"))
     agree = agree.join(enough, "leaf").where("own = fixed")
     full = agree.groupBy("leaf").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)

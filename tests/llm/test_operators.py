@@ -85,6 +85,12 @@ def test_line_dedup_drops_frames_from_short_documents(spark):
         assert out[i].text.split("\n") == [x for x in t.split("\n") if x not in (head, foot)]
 
 
+def test_line_dedup_keeps_short_lines_with_a_common_lead(spark):
+    rng = random.Random(SEED)
+    rows = [(i, f"{prose(rng, 60)}\nI do not {prose(rng, 1 + i % 2)}\n{prose(rng, 40)}") for i in range(60)]
+    assert {r.n_dropped for r in line_dedup.drop_recurring(documents(spark, rows)).collect()} == {0}
+
+
 def test_line_dedup_edges(spark):
     rows = [(*r, "x") for r in edge_rows()]
     out = line_dedup.drop_recurring(documents(spark, rows, "doc_id long, text string, size string"))
