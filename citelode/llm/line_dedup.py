@@ -2,13 +2,17 @@
 
 A line's tokens that hold a digit become ``<*>``. The tree has a fixed depth: token count first,
 then the leading tokens; its leaves hold the masked lines. A masked line that recurs across
-documents is a template. Below a leaf, other fields vary without a digit: a position whose token
-is the same in nearly all of the leaf's lines is constant, the others are ``<*>``; where
-enough positions beyond the leading ones are constant, the lines that agree with all of them share the leaf's template.
+documents is a template. Below a leaf, other fields
+vary without a digit: a position whose token is the same in nearly all of the leaf's lines is
+constant, the others are ``<*>``; where enough positions beyond the leading ones are constant,
+the lines that agree with all of them share a template. The other lines of a leaf, and leaves
+without a template, are split by further tokens, so a leaf holds any number of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,20 +55,61 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
     per_tpl = stage(per_tpl, "line-templates")
     exact = per_tpl.where(F.col("docs") >= min_docs).select("tpl", F.col("tpl").alias("grp"))
 
-    leaves = per_tpl.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds"))
     # written first, so its size is known and decides how the lines meet it
+    leaves = per_tpl.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds"))
     leaves = stage(leaves.where((F.col("total") >= min_docs) & (F.col("kinds") > 1)), "line-leaves")
-    varied = per_tpl.join(leaves, "leaf")
     shapes = keys.join(leaves, "leaf", "left_semi").select("tpl", "shape").distinct()
-    tokens = varied.join(shapes, "tpl").select("leaf", "n", "tpl", "docs", "total", F.posexplode(F.split("shape", " ")).alias("at", "token"))
-    tokens = stage(tokens, "line-tokens")
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("same"), F.max("total").alias("total"), F.max("n").alias("n")).where(F.col("same") >= AGREE * F.col("total"))
-    enough = constant.groupBy("leaf").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n")).where(F.col("fixed") - DEPTH >= CONSTANT * (F.col("n") - DEPTH)).select("leaf", "fixed")
-    agree = tokens.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "tpl").agg(F.count(F.lit(1)).alias("own"), F.max("docs").alias("docs"))
-    agree = agree.join(enough, "leaf").where("own = fixed")
-    full = agree.groupBy("leaf").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-    general = agree.join(full, "leaf", "left_semi").select("tpl", F.col("leaf").alias("grp"))
-    return keys, stage(exact.unionByName(general).distinct(), "line-recurring")
+    varied = per_tpl.join(leaves, "leaf").join(shapes, "tpl")
+    tokens = varied.select(F.col("leaf").alias("node"), F.lit(DEPTH).alias("given"), "n", "tpl", "docs", F.posexplode(F.split("shape", " ")).alias("at", "token"))
+    found = exact.select("tpl", F.col("tpl").alias("grp"))
+    for group in _groups(stage(tokens, "line-tokens"), min_docs):
+        found = found.unionByName(group)
+    return keys, stage(found.distinct(), "line-recurring")
+
+
+def _groups(tokens: DataFrame, min_docs: int) -> Iterator[DataFrame]:
+    """Lines ``tpl`` that share a generalised template, and its group ``grp``, round by round.
+
+    A node starts as a leaf. Where it is a template, the lines that agree with it leave and the
+    others are looked at again; where it is none, it is split at one more position, by each token
+    that ``min_docs`` texts or more have there. Constant positions count beyond the ``given``
+    ones, which lead to the node. Nodes of fewer texts than ``min_docs`` end. Each round lets
+    lines leave or splits at a position that isn't given, so rounds end.
+    """
+    while True:
+        kinds = tokens.groupBy("node", "at", "token").agg(F.sum("docs").alias("same"), F.max("n").alias("n"), F.max("given").alias("given"))
+        total = tokens.where("at = 0").groupBy("node").agg(F.sum("docs").alias("total"))
+        kinds = kinds.join(total.where(F.col("total") >= min_docs), "node").where((F.col("same") >= min_docs) | (F.col("same") >= AGREE * F.col("total")))
+        kinds = stage(kinds, "line-kinds")
+        constant = kinds.where(F.col("same") >= AGREE * F.col("total"))
+        enough = constant.groupBy("node").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.max("given").alias("given"))
+        enough = enough.where(F.col("fixed") - F.col("given") >= CONSTANT * (F.col("n") - F.col("given"))).where("n > given").select("node", "fixed")
+        agree = tokens.join(constant.select("node", "at", "token"), ["node", "at", "token"]).groupBy("node", "tpl").agg(F.count(F.lit(1)).alias("own"), F.max("docs").alias("docs"))
+        agree = agree.join(enough, "node").where("own = fixed")
+        full = agree.groupBy("node").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
+        group = stage(agree.join(full, "node", "left_semi").select("tpl", F.col("node").alias("grp")), "line-group")
+        yield group
+
+        # where no token is constant, those that many lines hold tell lines apart
+        often = kinds.where(F.col("same") >= min_docs)
+        places = often.groupBy("node", "at").agg(F.max("same").alias("top"), F.max("total").alias("total"))
+        places = places.where(F.col("top") < AGREE * F.col("total"))
+        cut = places.groupBy("node").agg(F.max(F.struct("top", (-F.col("at")).alias("back"))).alias("best")).select("node", (-F.col("best.back")).alias("at"))
+        done = group.select(F.col("grp").alias("node")).distinct()
+        ways = often.select("node", "at", "token").join(cut.join(done, "node", "left_anti"), ["node", "at"])
+        moves = tokens.join(ways, ["node", "at", "token"]).select("node", "tpl", "at", "token")
+        split = moves.select("node", "tpl", F.xxhash64("node", "at", "token").alias("next"), F.lit(1).alias("more"))
+        again = tokens.where("at = 0").join(done, "node", "left_semi").join(group.withColumnRenamed("grp", "node"), ["node", "tpl"], "left_anti")
+        again = again.select("node", "tpl", F.xxhash64("node", F.lit(-1)).alias("next"), F.lit(0).alias("more"))
+        rest = ways.select("node").distinct()
+        rest = tokens.where("at = 0").join(rest, "node", "left_semi").join(moves.select("node", "tpl"), ["node", "tpl"], "left_anti")
+        rest = rest.select("node", "tpl", F.xxhash64("node", F.lit(-1)).alias("next"), F.lit(0).alias("more"))
+        then = stage(split.unionByName(again).unionByName(rest), "line-moves")
+        small = then.groupBy("next").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("next")
+        then = then.join(small, "next", "left_semi")
+        tokens = stage(tokens.join(then, ["node", "tpl"]).select(F.col("next").alias("node"), (F.col("given") + F.col("more")).alias("given"), "n", "tpl", "docs", "at", "token"), "line-tokens")
+        if tokens.isEmpty():
+            return
 
 
 def _framing(keys: DataFrame, found: DataFrame, sizes: DataFrame, min_docs: int, most: float) -> DataFrame:

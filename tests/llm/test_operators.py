@@ -91,6 +91,17 @@ def test_line_dedup_keeps_short_lines_with_a_common_lead(spark):
     assert {r.n_dropped for r in line_dedup.drop_recurring(documents(spark, rows)).collect()} == {0}
 
 
+def test_line_dedup_finds_templates_in_mixed_leaves(spark):
+    rng = random.Random(SEED)
+    name = lambda: prose(rng, 1, "klmnopqrstuvw") + prose(rng, 1, "klmnop")
+    lines = [f"Posted in the news section by {name()} for readers" for _ in range(50)]
+    lines += [f"Posted in the evening with {name()} to all members" for _ in range(30)]
+    other = [f"Posted in the {' '.join(name() for _ in range(6))}" for _ in range(20)]
+    rows = [(i, f"{prose(rng, 60)}\n{x}\n{prose(rng, 40)}") for i, x in enumerate(lines + other)]
+    out = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring(documents(spark, rows)).collect()}
+    assert out == {i: int(i < len(lines)) for i in range(len(rows))}
+
+
 def test_line_dedup_edges(spark):
     rows = [(*r, "x") for r in edge_rows()]
     out = line_dedup.drop_recurring(documents(spark, rows, "doc_id long, text string, size string"))
