@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-#: Branches, and blocks inside an article, with less importance than this are removed.
-BRANCH, BLOCK = 0.4, 0.25
+#: Branches and blocks outside an article with less importance than this are removed.
+BRANCH = 0.4
 #: A host with fewer pages says nothing, nor do nodes on fewer pages.
 MIN_PAGES, MIN_SHARED = 4, 3
 DAMP = 0.9
@@ -243,9 +243,12 @@ def _chosen(root: Node) -> list[Block]:
 
 
 def main_blocks(root: Node, low: dict[int, float]) -> list[str]:
-    """The main text's blocks, given the importance of the host's low nodes."""
+    """The main text's blocks, given the importance of the host's low nodes.
+
+    Every chosen block of an article stays, however many pages of its host hold it.
+    """
     blocks = _chosen(root)
-    if not low or not blocks:
+    if not low or not blocks or blocks[0].node.inside:
         return [b.text for b in blocks]
     gone: set[int] = set()
 
@@ -263,7 +266,7 @@ def main_blocks(root: Node, low: dict[int, float]) -> list[str]:
         for x, value in kids:
             if isinstance(x, Node) and not x.inside and x.tag not in ("html", "body", "main", "article") and value < BRANCH:
                 gone.add(id(x))
-            elif isinstance(x, Block) and value < (BLOCK if node.inside else BRANCH):
+            elif isinstance(x, Block) and not node.inside and value < BRANCH:
                 gone.add(id(x))
         return (1 - mix) * own + mix * content, weight
 

@@ -150,6 +150,17 @@ def test_html_site_frame_is_learned(spark):
     assert {i: out[i] for i in range(40)} == want and out[100].startswith("Welcome")
 
 
+def test_html_article_keeps_blocks_that_many_pages_hold(spark):
+    rng = random.Random(SEED)
+    rows, want = [], {}
+    for i in range(60):
+        body = [prose(rng, 20), *(["the same paragraph in most articles"] if i % 3 else []), prose(rng, 20)]
+        rows.append((i, "https://h/x", page(f"<article><p>{'</p><p>'.join(body)}</p></article>")))
+        want[i] = "\n\n".join(body)
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == want
+
+
 def test_html_copies_keep_their_text(spark):
     html = page("<article><p>the same words on every page</p></article>")
     rows = [(i, None if i % 2 else "https://h/x", html) for i in range(20)]
