@@ -25,6 +25,11 @@ NGRAM = 3
 #: At most about so many labelled rows of each language are learned from.
 MAX_PER_LANG = 4000
 UND = "und"
+#: Least cosines of known text, in standard deviations of chance ones (``dim ** -0.5``): for
+#: texts up to so many characters, which share few n-grams with a prototype, and for longer ones.
+SHORT, LEAST_SHORT, LEAST_LONG = 200, 4, 6
+#: Texts of fewer different letters have too few n-grams to be told from chance and pass.
+FEW = 5
 _SPACE = 0
 _WINDOW = 1 << 20
 
@@ -214,16 +219,24 @@ def identify(df: DataFrame, **kw) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, min_score: float = 0.02) -> DataFrame:
+def keep_known(df: DataFrame, min_score: float | None = None) -> DataFrame:
     """The rows of ``df``, columns unchanged, whose text has a language.
 
     Learned from the labelled rows of ``df`` itself. Rejected: null texts, texts without a
-    letter, and texts whose best cosine is below ``min_score`` (unlike anything learned). Where
-    no row is labelled, only the first two go.
+    letter, and texts whose best cosine is below ``min_score`` (unlike anything learned); without
+    one, below ``LEAST_SHORT`` or ``LEAST_LONG`` deviations of chance, by length, if they have
+    ``FEW`` different letters or more. Where no row is labelled, only the first two go.
     """
     model = train(df)
     if not model:
         return df.where(F.col("text").rlike("\\p{L}"))
     own = {c: f"__own_{c}" for c in df.columns if c in ("lang_pred", "score")}
-    out = predict(df.withColumnsRenamed(own), model).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    chance = len(next(iter(model.values()))) ** -0.5
+    if min_score is None:
+        letters = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "\\P{L}", ""), ""))
+        least = F.when(F.length("text") <= SHORT, LEAST_SHORT * chance).otherwise(LEAST_LONG * chance)
+        known = (F.col("score") >= least) | (F.size(F.filter(letters, lambda x: x != "")) < FEW)
+    else:
+        known = F.col("score") >= min_score
+    out = predict(df.withColumnsRenamed(own), model).where((F.col("lang_pred") != UND) & (known))
     return out.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()})

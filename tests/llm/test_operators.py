@@ -186,6 +186,15 @@ def test_language(spark):
     assert kept == {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    rng = random.Random(SEED)
+    rows = [(i, prose(rng, 60, "bcdaei" if i % 2 else "rstouéü"), "aa" if i % 2 else "zz", "s", 1) for i in range(200)]
+    scripts = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыьэюя", "אבגדהוזחטיכלמנסעפצקרשת", "abcdefghijklmnopqrstuvwxyz"]
+    rows += [(1000 + i, prose(rng, (5, 40, 400)[i % 3], scripts[i % 4]), None, "s", 1) for i in range(120)]
+    kept = {r.doc_id for r in lang_id.keep_known(documents(spark, rows, DOCS)).collect()}
+    assert kept == set(range(200))
+
+
 def test_language_without_labels(spark):
     df = documents(spark, [(1, "abc", None, "s", 3), (2, None, "en", "s", 0)], DOCS)
     assert {r.lang_pred for r in lang_id.identify(df).collect()} == {"und"}
