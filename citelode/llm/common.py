@@ -24,14 +24,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where the session names none (tests on one machine), a temporary folder stands in and is
-    set as the checkpoint folder of the context.
+    Where neither is set, a temporary folder stands in if the master is local; on a cluster that
+    is an error, since executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="citelode-"))
     return f"file://{_OWN_DIR[0]}"
@@ -42,6 +47,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: executors lost later make no one recompute what stands before, and the
     shuffle files of what was written go at once instead of at the driver's next collection.
+    ``discard`` deletes what was written; the rest goes with the shared folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,7 +57,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes what ``stage`` wrote for these, once nothing lazy reads it any more."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -125,7 +141,9 @@ def connected_components(edges: DataFrame, name: str, local: int = LOCAL_EDGES)
                     some = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[roots[some]])], names=["node", "root"])
 
-        return stage(cur.coalesce(1).mapInArrow(resolve, "node long, root long"), name)
+        out = stage(cur.coalesce(1).mapInArrow(resolve, "node long, root long"), name)
+        discard(cur)
+        return out
     previous = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -139,4 +157,5 @@ def connected_components(edges: DataFrame, name: str, local: int = LOCAL_EDGES)
         if (sign.n, sign.x) == previous:
             roots = new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        discard(cur)
         previous, cur = (sign.n, sign.x), new
