@@ -305,7 +305,7 @@ def test_nearest(spark):
     rows += [(1000 + i, rows[3][1]) for i in range(300)]  # many copies of one vector
     rows += [(2000, None), (2100, [0.0] * 8), (2200, [float("nan")] * 8), (2300, [1.0, None] * 4), (2400, [float("inf")] * 8), (2500, []), (2600, [1.0, 2.0]), (None, rows[0][1]), rows[5]]
     out = {}
-    for r in vector_search.nearest(documents(spark, rows, "vec_id long, embedding array<float>"), shard=200, queries=3).collect():
+    for r in vector_search.nearest(documents(spark, rows, "vec_id long, embedding array<float>"), shard=200).collect():
         out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     fine = {k: np.array(v, np.float64) for k, v in rows if k is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)}
     assert sorted(out) == sorted(k for k in fine if k % 100 == 0)
