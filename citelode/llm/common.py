@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,15 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives freed memory of this worker process back, so that the next stage finds it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, the same in every process."""
     if not words:

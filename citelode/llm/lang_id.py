@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from citelode.llm.common import with_columns
+from citelode.llm.common import trim, with_columns
 
 DIM = 1024
 NGRAM = 3
@@ -30,6 +30,8 @@ UND = "und"
 SHORT, LEAST_SHORT, LEAST_LONG = 200, 4, 6
 #: Texts of fewer different letters have too few n-grams to be told from chance and pass.
 FEW = 5
+#: Letter vectors kept; they are drawn again when more are met.
+LETTERS = 4096
 _SPACE = 0
 _WINDOW = 1 << 20
 
@@ -46,7 +48,7 @@ def _letter_table() -> np.ndarray:
 def letter_vector(code: int, dim: int) -> np.ndarray:
     """The +1/-1 vector of a code point, drawn from a hash of it; the same everywhere."""
     raw = hashlib.shake_128(f"letter {code}".encode()).digest(dim // 8)
-    return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.float32) * 2 - 1
+    return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 class Encoder:
@@ -56,15 +58,17 @@ class Encoder:
         self.dim, self.n, self.keep = dim, n, keep
         self.letters: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
-        self.grams = np.empty((1024, dim), np.float32)
+        self.grams = np.empty((1024, dim), np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
             self.letters[code] = letter_vector(code, self.dim)
         return self.letters[code]
 
     def _bind(self, gram: int) -> np.ndarray:
-        out = np.ones(self.dim, np.float32)
+        out = np.ones(self.dim, np.int8)
         for place in range(self.n):
             out *= np.roll(self._letter(gram & 0x1FFFFF), place)
             gram >>= 21
@@ -123,7 +127,7 @@ class Encoder:
         for at in range(0, len(grams), 8192):  # so many bound vectors are gathered at once
             some = grams[at : at + 8192]
             rows = self.rows(some)  # may move the table
-            table = self.grams[rows]
+            table = self.grams[rows].astype(np.float32)
             counts = np.zeros((len(texts), len(some)), np.float32)
             for i, f in enumerate(found):
                 if f is not None:
@@ -200,6 +204,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
         for batch in batches:
             out = [one(v) for v in enc.batches(t.as_py() for t in batch.column(text))]
             yield with_columns(batch, lang_pred=pa.array([x for x, _ in out], pa.string()), score=pa.array([x for _, x in out], pa.float64()))
+        trim()
 
     return df.mapInArrow(score, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import connected_components, discard, hash_words, mix64, stage, union_find, words_of
+from citelode.llm.common import connected_components, discard, hash_words, mix64, stage, trim, union_find, words_of
 
 #: Sets tied by hot fragments in one block; two blocks meet in one task.
 BLOCK = 512
@@ -41,7 +41,7 @@ CLASS_FACTOR = 1.4
 #: Fragments beyond the differences of a class, as their share and at least.
 SPARE, SPARE_LEAST = 0.7, 8
 #: Entries of a packed row at most, and about as many of one group of packed rows.
-PACK = 2_000_000
+PACK = 1_000_000
 #: Sets of one fragment that meet as pairs, over all and within one task; more are tied to the first.
 SMALL, SMALL_HERE = 16, 8
 #: Vertical fragments that pairs are counted in, and pairs of one bucket on average.
@@ -217,16 +217,21 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
-            sizes = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array([set_class(s) for s in sets], pa.int64()), pa.array(np.zeros(len(sets), bool))], names=["id", "n", "cls", "gram"])
-            held += [s for s in sets if len(s)]
-            count += sum(sizes)
-            if count >= PACK:
-                yield from often()
-                count = 0
+            sizes, classes = [], []
+            for t in batch.column("text"):
+                grams = shingles(t.as_py(), n)
+                sizes.append(len(grams))
+                classes.append(set_class(grams))
+                if len(grams):
+                    held.append(grams)
+                    count += len(grams)
+                if count >= PACK:
+                    yield from often()
+                    count = 0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(np.zeros(len(sizes), bool))], names=["id", "n", "cls", "gram"])
         if held:
             yield from often()
+        trim()
 
     return docs.mapInArrow(read, "id long, n long, cls long, gram boolean")
 
@@ -282,6 +287,7 @@ def _candidates(texts: DataFrame, entries: int, n: int, percent: int, common: np
                     yield from flush()
                     count = 0
         yield from flush()
+        trim()
 
     def tie(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["part"].iloc[0] == -1:
