@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: the space and the controls tab to carriage return, which is
@@ -71,6 +71,16 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ways over which rows of one key are dealt where they meet others.
+SALTS = 8
+
+
+def meet(left: DataFrame, right: DataFrame, on: str, deal: Column, how: str = "inner") -> DataFrame:
+    """An equi-join whose left rows of one key are dealt over salts by ``deal``; ``right`` has each key but few times."""
+    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(deal, F.lit(SALTS)).cast("int")).join(spread, [on, "__salt"], how).drop("__salt")
+
+
 def trim() -> None:
     """Gives freed memory of this worker process back, so that the next stage finds it."""
     pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import connected_components, discard, hash_words, mix64, stage, trim, union_find, words_of
+from citelode.llm.common import connected_components, discard, hash_words, meet, mix64, stage, trim, union_find, words_of
 
 #: Sets tied by hot fragments in one block; two blocks meet in one task.
 BLOCK = 512
@@ -41,15 +41,15 @@ CLASS_FACTOR = 1.4
 #: Fragments beyond the differences of a class, as their share and at least.
 SPARE, SPARE_LEAST = 0.7, 8
 #: Entries of a packed row at most, and about as many of one group of packed rows.
-PACK = 1_000_000
+PACK = 500_000
 #: Sets of one fragment that meet as pairs, over all and within one task; more are tied to the first.
 SMALL, SMALL_HERE = 16, 8
 #: Vertical fragments that pairs are counted in, and pairs of one bucket on average.
 PARTS = 8
-PAIRS = 25_000
+PAIRS = 50_000
 #: An n-gram is common when this share of the documents or more hold it; only so many of the most
 #: common are told apart. Both change which fragments come first, never which pairs link.
-COMMON, COMMON_LEAST, COMMON_MOST = 1 / 512, 8, 100_000
+COMMON, COMMON_LEAST, COMMON_MOST = 1 / 256, 8, 100_000
 #: Ways over which the rows of one set are dealt when they meet their component.
 SALTS = 16
 _TRIES = 4
@@ -211,7 +211,7 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
 
         def often() -> Iterator[pa.RecordBatch]:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= max(2, int(len(held) * COMMON))
+            many = times >= max(4, int(len(held) * COMMON))
             k = int(many.sum())
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[many].astype(np.int64)), pa.array(grams[many].view(np.int64)), pa.array(np.ones(k, bool))], names=["id", "n", "cls", "gram"])
             held.clear()
@@ -386,7 +386,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     """Links ``(a, b)`` among the members ``(root, cls)`` of each root: a forest for each pair of blocks."""
     many = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     placed = (
-        sets.join(members.join(many, "root").hint("merge"), "cls")
+        sets.join(meet(members, many, "root", F.xxhash64("cls")).hint("merge"), "cls")
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("root", "cls", "grams", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -434,7 +434,7 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
     tied = connected_components(pairs.where("hot").select("a", "b"), "ngram-hot")
     members = tied.join(linked.select(F.col("node"), F.col("root").alias("same")), "node", "left").select("root", F.col("node").alias("cls"), F.coalesce("same", "node").alias("same"))
     open_ = members.groupBy("root").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low < high").select("root")
-    members = stage(members.join(open_, "root", "left_semi").select("root", "cls"), "ngram-members")
+    members = stage(meet(members, open_, "root", F.xxhash64("cls"), "left_semi").select("root", "cls"), "ngram-members")
     if not members.isEmpty():
         more = stage(_blocks(members, grams, percent, block), "ngram-more")
         linked = connected_components(links.unionByName(more), "ngram-linked")
@@ -444,7 +444,7 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
     # Only classes that repeat or link need a look-up; equal sets are dealt over salts.
     repeated = sets.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     smallest = linked.join(first, linked.node == first.cls).groupBy("root").agg(F.min("id").alias("component"))
-    component = repeated.join(linked.join(smallest, "root").withColumnRenamed("node", "cls"), "cls", "left").where("rows > 1 or component is not null")
+    component = repeated.join(meet(linked, smallest, "root", F.xxhash64("node")).withColumnRenamed("node", "cls"), "cls", "left").where("rows > 1 or component is not null")
     component = component.select("cls", F.coalesce("component", "id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     placed = sets.where("cls is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(component, ["cls", "salt"], "left")
     out = placed.select("id", "n", "component").unionByName(sets.where("cls is null").select("id", "n", F.lit(None).cast("long").alias("component")))
