@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import stage
+from citelode.llm.common import meet, stage
 
 DEPTH = 3
 #: Distinct texts that a template must occur in.
@@ -24,7 +24,8 @@ MIN_DOCS = 10
 #: Share of a leaf's lines that make a position constant, and of positions beyond the leading
 #: tokens that must be.
 AGREE, CONSTANT = 0.8, 0.6
-#: A document with more than this share of its characters in recurring lines may be a copy.
+#: A document with more than this share of its characters in recurring lines counts as one with
+#: those whose longest recurring line is of the same template.
 MOST = 0.5
 
 
@@ -58,7 +59,7 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
     # written first, so its size is known and decides how the lines meet it
     leaves = per_tpl.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds"))
     leaves = stage(leaves.where((F.col("total") >= min_docs) & (F.col("kinds") > 1)), "line-leaves")
-    shapes = keys.join(leaves, "leaf", "left_semi").select("tpl", "shape").distinct()
+    shapes = meet(keys, leaves, "leaf", F.col("rk"), "left_semi").select("tpl", "shape").distinct()
     varied = per_tpl.join(leaves, "leaf").join(shapes, "tpl")
     tokens = varied.select(F.col("leaf").alias("node"), F.lit(DEPTH).alias("given"), "n", "tpl", "docs", F.posexplode(F.split("shape", " ")).alias("at", "token"))
     found = exact.select("tpl", F.col("tpl").alias("grp"))
@@ -113,42 +114,41 @@ def _groups(tokens: DataFrame, min_docs: int) -> Iterator[DataFrame]:
 
 
 def _framing(keys: DataFrame, found: DataFrame, sizes: DataFrame, min_docs: int, most: float) -> DataFrame:
-    """The templates of ``found`` that recur when a family of copies counts as one document.
+    """The lines ``(rk, pos)`` of templates that recur when a family of copies counts as one document.
 
     A document of which more than ``most`` is recurring lines belongs to the family of its
-    longest recurring template; any other is a family of its own.
+    longest one's template (of equally long ones the last by name, a template's first line); any
+    other is a family of its own.
     """
-    hit = stage(keys.join(found, "tpl").select("rk", "pos", "size", "tpl", "grp"), "line-hits")
-    lines = hit.groupBy("rk", "pos").agg(F.max("size").alias("size"), F.min("grp").alias("grp"))
-    docs = lines.groupBy("rk").agg(F.sum("size").alias("held"), F.max(F.struct("size", "grp")).alias("longest")).join(sizes, "rk")
-    family = docs.select("rk", F.when(F.col("held") > most * F.col("chars"), F.col("longest.grp")).otherwise(F.col("rk")).alias("family"))
+    by_text = F.col("rk")
+    hit = stage(meet(keys.select("rk", "pos", "size", "shape", "tpl"), found, "tpl", by_text).drop("tpl"), "line-hits")
+    names = hit.groupBy("grp").agg(F.min("shape").alias("name"))
+    lines = meet(hit.select("rk", "pos", "size", "grp"), names, "grp", by_text).groupBy("rk", "pos").agg(F.max("size").alias("size"), F.min("name").alias("name"))
+    docs = lines.groupBy("rk").agg(F.sum("size").alias("held"), F.max(F.struct("size", "name")).alias("longest")).join(sizes, "rk")
+    family = docs.select("rk", F.when(F.col("held") > most * F.col("chars"), F.xxhash64(F.lit("family"), "longest.name")).otherwise(by_text).alias("family"))
     members = hit.select("rk", "grp").distinct().join(family, "rk").select("grp", "family").distinct()
-    framing = members.groupBy("grp").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= min_docs)
-    return hit.join(framing, "grp", "left_semi")
+    framing = members.groupBy("grp").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= min_docs).select("grp")
+    return meet(hit.select("rk", "pos", "grp"), framing, "grp", by_text, "left_semi").select("rk", "pos").distinct()
 
 
-def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, most: float = MOST, whole: bool = False) -> DataFrame:
+def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, most: float = MOST) -> DataFrame:
     """All rows and columns of ``df``, ``text`` without recurring lines; ``n_lines``, ``n_dropped`` added.
 
     Lines end at line feeds; blank ones stay. Every occurrence of a recurring template goes,
     whatever share of a document that is, so equal texts stay equal. Near copies don't make
     their own lines recur: documents of which more than ``most`` (characters) recurs count as
-    one for each longest template among them. With ``whole`` they all count instead, and each
-    such document stays whole. Null and empty texts stay, with no lines and one. Repeated rows
-    fare alike; keys play no part. ``df`` must not hold the new names.
+    one for each longest template among them. Null and empty texts stay, with no lines and one.
+    Repeated rows fare alike; keys play no part. Columns of ``df`` with the new names are
+    replaced; its names must not begin with two underscores.
     """
+    df = df.drop(*({"n_lines", "n_dropped"} - {text}))
     keys, found = recurring(df, text, min_docs)
-    if whole:
-        hit = keys.join(found.select("tpl").distinct(), "tpl")
-    else:
-        sizes = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("rk"), F.length(text).alias("chars")).distinct()
-        hit = _framing(keys, found, sizes, min_docs, most)
-    hit = hit.groupBy("rk", "pos").agg(F.max("size").alias("size"))
-    hit = hit.groupBy("rk").agg(F.collect_list("pos").alias("__gone"), F.sum("size").alias("__size")).withColumnRenamed("rk", "__rk")
-    rows = df.withColumn("__rk", F.when(F.col(text).isNotNull(), F.xxhash64(text))).join(hit, "__rk", "left")
-    cut = F.col("__gone").isNotNull()
-    if whole:
-        cut = cut & (F.col("__size") <= most * F.length(text))
+    sizes = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("rk"), F.length(text).alias("chars")).distinct()
+    hit = _framing(keys, found, sizes, min_docs, most).groupBy("rk").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("rk", "__rk")
+    # rows without a text, and copies of one text, don't gather in one task
+    number = F.monotonically_increasing_id()
+    rows = meet(df.withColumn("__rk", F.coalesce(F.xxhash64(text), number)), hit, "__rk", number, "left")
+    cut = F.col("__gone").isNotNull() & F.col(text).isNotNull()
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))))
     rows = rows.withColumn("n_dropped", F.when(cut, F.size("__gone")).otherwise(0)).withColumn(text, F.when(cut, kept).otherwise(F.col(text)))
@@ -166,14 +166,17 @@ leaves AS (SELECT n, lead, sum(docs) AS total FROM per_tpl WHERE n > {DEPTH} GRO
 tokens AS (SELECT n, lead, shape, docs, total, unnest(string_split(shape, ' ')) AS token, generate_subscripts(string_split(shape, ' '), 1) AS place
   FROM per_tpl JOIN leaves USING (n, lead)),
 constant AS (SELECT n, lead, place, token FROM tokens GROUP BY ALL HAVING sum(docs) >= {AGREE} * max(total)),
-enough AS (SELECT n, lead, count(*) AS fixed FROM constant GROUP BY ALL HAVING count(*) >= {CONSTANT} * n),
+enough AS (SELECT n, lead, count(*) AS fixed FROM constant GROUP BY ALL HAVING count(*) - {DEPTH} >= {CONSTANT} * (n - {DEPTH})),
 agree AS (SELECT n, lead, shape, max(docs) AS docs FROM tokens JOIN constant USING (n, lead, place, token) JOIN enough USING (n, lead)
   GROUP BY n, lead, shape HAVING count(*) = max(fixed)),
-recurring AS (SELECT shape FROM per_tpl WHERE docs >= {MIN_DOCS}
-  UNION SELECT shape FROM agree JOIN (SELECT n, lead FROM agree GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}) USING (n, lead)),
-hits AS (SELECT text, list(pos) AS gone, sum(size) AS size FROM lines WHERE shape IN (SELECT shape FROM recurring) GROUP BY text),
-kept AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS parts, CASE WHEN h.size <= {MOST} * length(d.text) THEN h.gone END AS gone
-  FROM documents d LEFT JOIN hits h USING (text))
+found AS (SELECT shape, shape AS grp FROM per_tpl WHERE docs >= {MIN_DOCS}
+  UNION SELECT shape, chr(10) || n || ' ' || lead FROM agree JOIN (SELECT n, lead FROM agree GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}) USING (n, lead)),
+hit AS (SELECT text, pos, size, grp, min(shape) OVER (PARTITION BY grp) AS name FROM lines JOIN found USING (shape)),
+held AS (SELECT text, pos, max(size) AS size, min(name) AS name FROM hit GROUP BY text, pos),
+family AS (SELECT text, CASE WHEN sum(size) > {MOST} * length(text) THEN chr(10) || max({{'size': size, 'name': name}}).name ELSE text END AS family FROM held GROUP BY text),
+framing AS (SELECT grp FROM hit JOIN family USING (text) GROUP BY grp HAVING count(DISTINCT family) >= {MIN_DOCS}),
+gone AS (SELECT text, list(DISTINCT pos) AS gone FROM hit WHERE grp IN (SELECT grp FROM framing) GROUP BY text),
+kept AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS parts, g.gone FROM documents d LEFT JOIN gone g USING (text))
 SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(parts) END AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_dropped,
   sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_sha256
 FROM kept
