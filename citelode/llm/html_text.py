@@ -5,8 +5,11 @@ with the sequence of its children's labels, a content node is a block of text un
 Over the m pages of a host, a node that k pages hold has importance ``1 - log k / log m``: one
 that all pages share has the largest entropy and says nothing about any page, one of its own
 has importance one. A branch's importance mixes that of its presentation with that of its
-content, and branches of low importance are removed from each page. Elements whose tag, role,
-class or id names a menu, footer, advert and so on go on any host, also on one with a single page.
+content, and is weighed by a prior: elements whose tag, role or name stands for a menu, footer,
+advert and so on weigh little, those whose name only holds such a word among others somewhat
+less than others. Branches of low weighed importance are removed from each page. Hosts with too
+few pages for a tree have the prior alone. What stands in an article without such a mark stays,
+however many pages hold it.
 
 Only nodes of low importance travel back to the pages, and those are few: with blocks of which
 at most B stand on a page, at most ``B * m ** (1 - t)`` nodes of a host are held by ``m ** t`` pages.
@@ -26,8 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-#: Branches and blocks outside an article with less importance than this are removed.
+#: Branches, and blocks outside an article, with less importance than this are removed.
 BRANCH = 0.4
+#: Priors of branches that are never content, that their tag or name marks, and whose name only
+#: holds a marking word beside others; and the importance of branches that no tree knows.
+NEVER, MARKED, HINTED, UNKNOWN = 0.0, 0.25, 0.45, 0.9
 #: A host with fewer pages says nothing, nor do nodes on fewer pages.
 MIN_PAGES, MIN_SHARED = 4, 3
 DAMP = 0.9
@@ -59,6 +65,11 @@ NOISE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations breadcrumb breadcrumbs pagination pager comment comments disqus respond widget toolbar copyright disclaimer masthead topbar offcanvas".split()
 )
+#: Words that say nothing beside a marking one.
+PLAIN_NAMES = frozenset(
+    "area bar block bottom box button buttons card cell col column container content group head holder icon icons inline inner item items label left line link links list main "
+    "panel page right row section site slot small text title top unit wrap wrapper info warning error success primary secondary global post the".split()
+)
 COMMENT_NAMES = frozenset("comment comments disqus respond".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 
@@ -66,10 +77,10 @@ HEADER_NAMES = frozenset("header masthead topbar".split())
 class Node:
     """An element, with the order of what stands in it."""
 
-    __slots__ = ("tag", "parent", "path", "inside", "noise", "holds", "labels")
+    __slots__ = ("tag", "parent", "path", "inside", "prior", "named", "around", "holds", "labels")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, noise: str, article: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, label: str, prior: float, named: bool, article: bool):
+        self.tag, self.parent, self.prior, self.named, self.around = tag, parent, prior, named, False
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0}>{label}")
         self.inside = article or bool(parent and parent.inside)
         self.holds: list[Node | Block] = []
@@ -97,28 +108,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _noise(tag: str, attrs: dict[str, str], parent: Node | None) -> str:
-    """Why an element is no content: ``tag``, ``name`` or ``comment``; empty if nothing says so."""
+def _marks(names: list[str]) -> float:
+    """The prior of an element by the words of one class or id."""
+    if not NOISE_NAMES.intersection(names):
+        return 1.0
+    return MARKED if all(n in NOISE_NAMES or n in PLAIN_NAMES for n in names) else HINTED
+
+
+def _prior(tag: str, attrs: dict[str, str], parent: Node | None) -> tuple[float, bool]:
+    """An element's prior, and whether its name or its being a header gave it.
+
+    Names count on block elements alone: a word inside a sentence is no branch.
+    """
     if tag in ("html", "body", "main"):
-        return ""
-    names = {n.lower() for n in _NAME.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    if names & COMMENT_NAMES:
-        return "comment"
-    if tag in NOISE_TAGS or attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return "tag"
-    if re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return "tag"
+        return 1.0, False
+    words = [[w.lower() for w in _NAME.findall(x)] for x in (*attrs.get("class", "").split(), attrs.get("id", ""))]
+    if tag in BLOCKS and any(COMMENT_NAMES.intersection(w) and _marks(w) == MARKED for w in words):
+        return NEVER, False
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+        return NEVER, False
+    if tag in NOISE_TAGS or attrs.get("role", "").lower() in NOISE_ROLES:
+        return MARKED, False
+    if tag == "article" or tag not in BLOCKS:
+        return 1.0, False
     inside = parent is not None and parent.inside
-    if tag == "article":
-        return ""
-    if not inside and (tag == "header" or names & HEADER_NAMES):
-        return "name"
-    return "name" if names & NOISE_NAMES else ""
+    if not inside and (tag == "header" or any(HEADER_NAMES.intersection(w) for w in words)):
+        return MARKED, True
+    return min(map(_marks, words)), True
 
 
 def parse(html: str) -> Node:
     """The tree of a page. Open and misnested tags are closed as browsers do for text."""
-    root = Node("", None, "", "", False)
+    root = Node("", None, "", 1.0, False, False)
     here, text, at = root, [], 0
 
     def end_block() -> None:
@@ -181,7 +202,8 @@ def parse(html: str) -> Node:
         if tag not in BLOCKS and tag not in NOISE_TAGS and "=" not in m[3]:
             continue  # plain inline markup only carries text
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])}
-        noise = _noise(tag, attrs, here)
+        prior, named = _prior(tag, attrs, here)
+        noise = prior < HINTED
         if tag not in BLOCKS and not noise:
             continue
         if tag in BLOCKS:
@@ -194,11 +216,12 @@ def parse(html: str) -> Node:
         if tag in ("article", "main") and not noise:
             above = here
             while above:  # what holds the article is no noise itself
-                if above.noise == "name":
-                    above.noise = ""
+                above.around = True
+                if above.named:
+                    above.prior = 1.0
                 above = above.parent
         label = tag + "".join(f".{re.sub(r'[0-9]+', '0', n)}" for n in sorted(attrs.get("class", "").split())) + (f"#{re.sub(r'[0-9]+', '0', attrs['id'])}" if attrs.get("id") else "")
-        here = Node(tag, here, label, noise, tag == "article" and not noise)
+        here = Node(tag, here, label, prior, named, tag == "article" and not noise)
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             here = here.parent
     end_block()
@@ -220,73 +243,62 @@ def nodes_of(root: Node) -> set[int]:
     return out
 
 
-def _chosen(root: Node) -> list[Block]:
-    """Blocks that no tag or name marks as noise: of the articles, else of main, else all."""
-    found: dict[str, list[Block]] = {"article": [], "main": [], "": []}
+def _in_order(root: Node) -> list[Node]:
+    """The elements of a page, each before what it holds."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [x for x in reversed(node.holds) if isinstance(x, Node)]
+    return out
 
-    def walk(node: Node, place: str) -> None:
-        if node.noise:
-            return
-        place = "article" if node.inside else place or ("main" if node.tag == "main" else "")
+
+def importances(root: Node, low: dict[int, float]) -> dict[int, float]:
+    """The importance of every branch, by ``id``: its presentation's, mixed with that of its content by size."""
+    out, sums = {}, {}
+    for node in reversed(_in_order(root)):
+        total, weight = 0.0, 0
         for x in node.holds:
-            if isinstance(x, Node):
-                walk(x, place)
-            else:
+            t, w = sums[id(x)] if isinstance(x, Node) else (low.get(x.content, 1.0) * len(x.text), len(x.text))
+            total, weight = total + t, weight + w
+        value = 1.0
+        if weight:
+            mix = DAMP ** min(len(node.holds), 8)
+            value = (1 - mix) * low.get(node.style(), 1.0) + mix * total / weight
+        out[id(node)], sums[id(node)] = value, (value * weight, weight)
+    return out
+
+
+def _kept(root: Node, low: dict[int, float]) -> list[Block]:
+    """Blocks outside removed branches: of the articles, else of main, else all."""
+    value = importances(root, low) if low else {}
+    found: dict[str, list[Block]] = {"article": [], "main": [], "": []}
+    stack: list[tuple[Node | Block, str]] = [(root, "")]
+    while stack:
+        x, place = stack.pop()
+        if isinstance(x, Block):
+            if x.node.inside or low.get(x.content, 1.0) >= BRANCH:
                 found[""].append(x)
                 if place:
                     found["main"].append(x)
                 if place == "article":
                     found["article"].append(x)
-
-    walk(root, "")
+            continue
+        spared = x.prior == 1.0 and (x.inside or x.around or x.tag in ("", "html", "body", "main"))
+        if not spared and value.get(id(x), UNKNOWN) * x.prior < BRANCH:
+            continue
+        place = "article" if x.inside else place or ("main" if x.tag == "main" else "")
+        stack += [(y, place) for y in reversed(x.holds)]
     return found["article"] or found["main"] or found[""]
 
 
 def main_blocks(root: Node, low: dict[int, float]) -> list[str]:
-    """The main text's blocks, given the importance of the host's low nodes.
+    """The main text's blocks, given the importance of the host's low nodes (none: no tree).
 
-    Every chosen block of an article stays, however many pages of its host hold it.
+    A page of which nothing is left holds only what others hold: it is a copy, and the prior
+    alone decides.
     """
-    blocks = _chosen(root)
-    if not low or not blocks or blocks[0].node.inside:
-        return [b.text for b in blocks]
-    gone: set[int] = set()
-
-    def importance(node: Node) -> tuple[float, int]:
-        """Of a branch, with its characters; low branches below are noted on the way."""
-        total, weight, kids = 0.0, 0, []
-        for x in node.holds:
-            value, size = importance(x) if isinstance(x, Node) else (low.get(x.content, 1.0), len(x.text))
-            total, weight = total + value * size, weight + size
-            kids.append((x, value))
-        if not weight:
-            return 1.0, 0
-        content, own = total / weight, low.get(node.style(), 1.0)
-        mix = DAMP ** min(len(node.holds), 8)
-        for x, value in kids:
-            if isinstance(x, Node) and not x.inside and x.tag not in ("html", "body", "main", "article") and value < BRANCH:
-                gone.add(id(x))
-            elif isinstance(x, Block) and not node.inside and value < BRANCH:
-                gone.add(id(x))
-        return (1 - mix) * own + mix * content, weight
-
-    importance(root)
-
-    def stays(b: Block) -> bool:
-        node: Node | None = b.node
-        if id(b) in gone:
-            return False
-        while node:
-            if id(node) in gone:
-                return False
-            node = node.parent
-        return True
-
-    kept = [b for b in blocks if stays(b)]
-    # A page that would lose most of its text is a copy of others of its host, not their frame.
-    if 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in blocks):
-        kept = blocks
-    return [b.text for b in kept]
+    return [b.text for b in _kept(root, low) or _kept(root, {})]
 
 
 def host_of(url: str) -> Column:
@@ -302,6 +314,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     with a null url are one host. Repeated rows are extracted alike. ``df`` must not hold the
     new names, nor ``__host``, ``__salt`` and ``__low``.
     """
+    df = df.drop(*({"text", "n_chars"} - {html, url}))
     pages = df.withColumn("__host", host_of(url))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,14 +329,14 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for host, raw in zip(batch.column("__host").to_pylist(), batch.column("html"), strict=True):
+            for host, raw in zip(batch.column("__host").to_pylist(), batch.column("__html"), strict=True):
                 for node in [*(nodes_of(parse(raw.as_py())) if raw.is_valid else ()), 0]:
                     held[host, node] = held.get((host, node), 0) + 1
             if len(held) > 400_000:
                 yield from flush()
         yield from flush()
 
-    counts = pages.select("__host", F.col(html).alias("html")).mapInArrow(count, "host string, node long, n long").groupBy("host", "node").agg(F.sum("n").alias("k")).where(F.col("k") >= MIN_SHARED)
+    counts = pages.select("__host", F.col(html).alias("__html")).mapInArrow(count, "host string, node long, n long").groupBy("host", "node").agg(F.sum("n").alias("k")).where(F.col("k") >= MIN_SHARED)
     # Node 0 stands for every page of its host; it meets the others over salts.
     salt = F.pmod(F.col("node"), F.lit(SALTS)).cast("int")
     many = counts.where(f"node = 0 and k >= {MIN_PAGES}").select("host", F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -341,6 +354,8 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     squeezed = StructType([StructField(f.name, BinaryType() if f.name == html else f.dataType) for f in small.schema.fields])
     joined = small.mapInArrow(squeeze, squeezed).join(low, ["__host", "__salt"], "left")
 
+    gone = {html, "text", "n_chars"}
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -348,8 +363,8 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
             for raw, lows in zip(batch.column(html), batch.column("__low"), strict=True):
                 known = {int(x["node"]): float(x["imp"]) for x in lows.as_py()} if lows.is_valid else {}
                 out.append("\n\n".join(main_blocks(parse(unpacker.decompress(raw.as_py()).decode("utf-8", "surrogatepass")), known)) if raw.is_valid else "")
-            kept = [c for c in batch.schema.names if c != html and not c.startswith("__")]
+            kept = [c for c in batch.schema.names if c not in gone and not c.startswith("__")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=[*kept, "text", "n_chars"])
 
-    fields = [f for f in joined.schema.fields if f.name != html and not f.name.startswith("__")]
+    fields = [f for f in joined.schema.fields if f.name not in gone and not f.name.startswith("__")]
     return joined.mapInArrow(read, StructType([*fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
