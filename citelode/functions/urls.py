@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -18,7 +19,9 @@ PUBLISHERS = (
     ("jstor.org", 1.20), ("plos.org", 1.20), ("frontiersin.org", 1.15), ("mdpi.com", 1.10), ("biorxiv.org", 1.15), ("medrxiv.org", 1.15),
     ("arxiv.org", 1.20), ("semanticscholar.org", 1.15), ("openalex.org", 1.15), ("doaj.org", 1.10), ("archive.org", 1.10), ("gutenberg.org", 1.10),
 )
+# Hosts that only redirect.
 REDIRECTORS = ("hdl.handle.net", "doi.org", "dx.doi.org", "purl.org")
+# Address blocks that aren't publicly routable.
 PRIVATE_V4 = (
     "0.0.0.0/32", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
     "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "255.255.255.255/32",
@@ -101,20 +104,42 @@ def unwrap_redirect(href: Column) -> Column:
     return F.when(wrapped != "", F.try_url_decode(wrapped)).otherwise(F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href))
 
 
+def _absolute(base: str | None, href: str | None) -> str | None:
+    """A link made absolute against its page's address; None where it can't be."""
+    if not base or href is None:
+        return None
+    try:
+        out = urljoin(base, href.strip())
+        return out if urlsplit(out).scheme else None
+    except ValueError:
+        return None
+
+
+def _host(url: str) -> str:
+    found = re.match(_HOST, url)
+    return found[1].lower() if found else ""
+
+
 @F.pandas_udf(StringType())
 def resolve_href(base: pd.Series, href: pd.Series) -> pd.Series:
     """A link made absolute against its page's address; null where it can't be."""
+    return pd.Series([_absolute(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
-    def one(b: str | None, h: str | None) -> str | None:
-        if not b or h is None:
-            return None
-        try:
-            out = urljoin(b, h.strip())
-            return out if urlsplit(out).scheme else None
-        except ValueError:
-            return None
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+@F.pandas_udf(StringType())
+def first_link(base: pd.Series, trusted: pd.Series, local: pd.Series) -> pd.Series:
+    """The first of a page's links made absolute: trusted ones on any host, then local ones on its own."""
+
+    def one(b: str | None, anywhere, here) -> str | None:
+        for h in anywhere if anywhere is not None else ():
+            if (found := _absolute(b, h)) is not None:
+                return found
+        for h in here if here is not None else ():
+            if (found := _absolute(b, h)) is not None and _host(found) == _host(b):
+                return found
+        return None
+
+    return pd.Series([one(*row) for row in zip(base, trusted, local, strict=True)], dtype=object)
 
 
 def ipv4_number(ip: Column) -> Column:

@@ -110,7 +110,17 @@ def instance_scores(results: DataFrame) -> DataFrame:
     return results.select(F.col("title"), F.col("url"), F.col("source").alias("engine"), (1.0 / F.col("rank_in_source")).alias("score"))
 
 
+#: Attempts in all, and the statuses that are worth another one.
+ATTEMPTS, RETRIED = 3, (429, 502, 503, 504)
+
+
 def retry_delays(status: Column, attempt: Column, retry_after: Column) -> Column:
-    """Seconds before another attempt, without jitter: what the server asks for, else by status; 8 at most."""
+    """Seconds before the attempt after ``attempt`` (from 1), without jitter; null if there is none.
+
+    Only ``RETRIED`` statuses and transport errors (a null status) are tried again. The wait is
+    what the server asks for, else by status, doubling unless it limits the rate; 8 at most.
+    """
     own = F.when(status == 429, 5.0 * attempt).otherwise(F.pow(F.lit(2.0), attempt))
-    return F.least(F.coalesce(retry_after.cast("double"), own), F.lit(8.0))
+    asked = F.when(status.isNotNull(), retry_after.cast("double"))
+    again = (attempt < ATTEMPTS) & (status.isNull() | status.isin(*RETRIED))
+    return F.when(again, F.least(F.coalesce(asked, own), F.lit(8.0)))

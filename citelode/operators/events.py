@@ -86,9 +86,22 @@ def reconcile_bytes(progress: DataFrame) -> DataFrame:
 
 
 def throttle(progress: DataFrame, gap_ms: int = 200) -> DataFrame:
-    """Reports at least ``gap_ms`` after the one before of the same file, and all final ones."""
-    before = F.lag("ms").over(Window.partitionBy("run_id", "url").orderBy("seq"))
-    return progress.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("ms") - F.col("__b") >= gap_ms) | (F.col("status") != "progress")).drop("__b")
+    """Reports at least ``gap_ms`` after the last one of the same file that was let through, and all final ones.
+
+    A file's first report passes, and a final one counts as let through. ``progress`` has
+    ``run_id, url, seq, ms, status``. One file's reports are a bounded list, folded in the JVM.
+    """
+    report = F.struct("seq", "ms", (F.col("status") != "progress").alias("final"))
+    files = progress.groupBy("run_id", "url").agg(F.array_sort(F.collect_list(report)).alias("__reports"))
+
+    def step(state: Column, r: Column) -> Column:
+        goes = r["final"] | state["last"].isNull() | (r["ms"] - state["last"] >= gap_ms)
+        return F.struct(F.when(goes, r["ms"]).otherwise(state["last"]).alias("last"), F.when(goes, F.concat(state["seqs"], F.array(r["seq"]))).otherwise(state["seqs"]).alias("seqs"))
+
+    kinds = dict(progress.dtypes)
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kinds['seq']}>").alias("seqs"))
+    kept = F.aggregate("__reports", none, step, lambda state: state["seqs"])
+    return progress.join(files.select("run_id", "url", F.explode(kept).alias("seq")), ["run_id", "url", "seq"], "left_semi")
 
 
 def throughput(samples: DataFrame) -> DataFrame:

@@ -58,12 +58,18 @@ def library_summary(runs: DataFrame, documents: DataFrame, files: DataFrame | No
     return out.fillna(0, ["n_docs"]).orderBy(F.desc("library"))
 
 
-def library_docs(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Documents with a stored file that is there, in title order (ASCII letter case aside)."""
+def library_docs(documents: DataFrame, files: DataFrame | None = None, library: str | None = None) -> DataFrame:
+    """Documents with a stored file that is there, in title order (ASCII letter case aside).
+
+    With the column that names the ``library``, their ``place`` within it is added.
+    """
     rows = documents.where(F.coalesce("local_path", F.lit("")) != "")
     if files is not None:
         rows = rows.join(files.select(F.col("path").alias("local_path")).distinct(), "local_path", "left_semi")
-    return rows.orderBy(ascii_lower(F.col("title")), "url")
+    order = (ascii_lower(F.col("title")), F.col("url"))
+    if library is not None:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(library).orderBy(*order)))
+    return rows.orderBy(*order)
 
 
 def filter_libraries(libraries: DataFrame, text: str) -> DataFrame:

@@ -34,13 +34,14 @@ def tfidf(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     keywords weigh more. A title's tokens count three times.
     """
     terms = keywords.select("run_id", F.explode(tokenize(F.col("keyword"))).alias("term")).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("q"))
-    title, body = tokenize(F.col("title")), tokenize(F.col("abstract"))
-    weighed = docs.select("run_id", "insert_idx", F.explode(F.concat(F.transform(title, lambda t: F.struct(t.alias("term"), F.lit(TITLE_BOOST).alias("w"))), F.transform(body, lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("t"))
-    found = weighed.select("run_id", "insert_idx", "t.term", "t.w").join(terms, ["run_id", "term"])
-    per_doc = found.groupBy("run_id", "insert_idx", "term").agg(F.sum("w").alias("tf"), F.first("q").alias("q"))
-    freq = per_doc.groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    asked = terms.groupBy("run_id").agg(F.collect_list(F.struct("term", "q")).alias("__terms"))
     n = docs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    scored = per_doc.join(freq, ["run_id", "term"]).join(n, "run_id")
+    rows = docs.select("run_id", "insert_idx", tokenize(F.col("title")).alias("__title"), tokenize(F.col("abstract")).alias("__body")).join(asked, "run_id")
+    # each document counts the few terms asked for in place, so no token becomes a row
+    times = lambda tokens, t: F.size(F.filter(F.col(tokens), lambda x: x == t["term"]))
+    counted = F.transform("__terms", lambda t: F.struct(t["term"].alias("term"), t["q"].alias("q"), (TITLE_BOOST * times("__title", t) + times("__body", t)).alias("tf")))
+    per_doc = rows.select("run_id", "insert_idx", F.explode(F.filter(counted, lambda t: t["tf"] > 0)).alias("t")).select("run_id", "insert_idx", "t.*")
+    scored = per_doc.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("run_id", "term"))).join(n, "run_id")
     return scored.groupBy("run_id", "insert_idx").agg(F.sum(F.col("tf") * F.col("q") * idf(F.col("n"), F.col("df"))).alias("tfidf"))
 
 

@@ -29,14 +29,14 @@ def candidates(
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as discovered documents: title and first 2000 characters of text, eight sources."""
+    """Pages as discovered documents: title and whole text, eight sources."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     source = F.concat(F.lit("s"), (F.col("page_id") % 8).cast("string"))
     first = F.row_number().over(Window.partitionBy(url_key(F.col("url"))).orderBy("page_id"))
     kept = pages.withColumn("first", first).where("first = 1")
     rank_in_source = F.row_number().over(Window.partitionBy(source).orderBy("page_id"))
-    return kept.select("page_id", "url", title.alias("title"), F.substring(strip_html(F.col("html"), native=True), 1, 2000).alias("abstract"), source.alias("source"), rank_in_source.alias("rank_in_source"))
+    return kept.select("page_id", "url", title.alias("title"), strip_html(F.col("html"), native=True).alias("abstract"), source.alias("source"), rank_in_source.alias("rank_in_source"))
 
 
 def flagship(spark: SparkSession, sf_dir: str, words: tuple[str, ...] = ("the", "and", "tion", "la")) -> DataFrame:

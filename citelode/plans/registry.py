@@ -467,10 +467,10 @@ def q_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.col("url")).alias("slug"))
 
 
-@register("SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '[^\\s]+'), 1, 40), ' ') AS abstract FROM benchmark")
+@register("SELECT item_id, array_to_string(regexp_extract_all(text, '[^\\s]+'), ' ') AS abstract FROM benchmark")
 def q_inverted_index_roundtrip(spark, sf_dir):
-    """Texts rebuilt from an inverted index of their first words."""
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)), 1, 40)
+    """Texts rebuilt from an inverted index of their words."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("p", "w")).groupBy("item_id", "w").agg(F.collect_list(F.col("p").cast("long")).alias("ps"))
     m = b.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return m.select("item_id", text.reconstruct_abstract(F.col("m")).alias("abstract"))
@@ -528,11 +528,17 @@ def q_source_cap(spark, sf_dir):
     return discovery.cap_per_source(d, 25).select("doc_id", "source", F.col("rank_in_source").alias("rank"))
 
 
-@register("SELECT min(doc_id) AS doc_id, md5(text) AS item FROM documents GROUP BY 2 QUALIFY row_number() OVER (ORDER BY min(doc_id)) <= 500")
+@register("""WITH d AS (SELECT doc_id // 200 AS run_id, doc_id, 'https://a.example/' || doc_id % 90 AS url FROM documents),
+f AS (SELECT run_id, url, min(doc_id) AS first FROM d GROUP BY run_id, url QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY min(doc_id)) <= 60),
+c AS (SELECT run_id, count(*) AS n, max(first) AS last FROM f GROUP BY run_id)
+SELECT run_id, f.url, row_number() OVER (PARTITION BY run_id ORDER BY first) - 1 AS insert_idx, (SELECT count(*) FROM d WHERE d.run_id = f.run_id AND d.url = f.url AND (c.n < 60 OR d.doc_id <= c.last)) AS n_ranks FROM f JOIN c USING (run_id)""")
 def q_global_cap(spark, sf_dir):
-    """The first 500 different texts by arrival (a cap is the feature)."""
-    d = dedup.dedup_first(_docs(spark, sf_dir).select("doc_id", "item"), ["item"], "doc_id")
-    return d.orderBy("doc_id").limit(500)
+    """The matcher under a cap of 60 documents a run, where only addresses match; what comes later counts for nothing (a cap is the feature)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    d = _discoveries(spark, sf_dir).withColumn("url", F.concat(F.lit("https://a.example/"), (F.col("arrival_seq") % 90).cast("string")))
+    d = d.withColumn("title", F.lit("")).withColumn("authors", F.array().cast("array<string>")).withColumn("year", none("string"))
+    out = dedup.resolve(d, 60)
+    return out.select("run_id", "url", F.col("insert_idx").cast("long").alias("insert_idx"), F.size("source_ranks").cast("long").alias("n_ranks"))
 
 
 @register("""WITH b AS (SELECT item_id % 6 AS run_id, lower(string_split(text, ' ')[1]) AS s FROM benchmark WHERE item_id % 2 = 0), e AS (SELECT item_id, item_id % 6 AS run_id, string_split(text, ' ')[1] AS sub_query FROM benchmark)
@@ -554,19 +560,27 @@ def q_deadlines(spark, sf_dir):
 # --- library ------------------------------------------------------------------------------------
 
 
-@register("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@register("""WITH old AS (SELECT * FROM events WHERE user_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
+SELECT CASE WHEN user_id % 2 = 0 THEN 1000 + user_id END AS id, user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def q_upsert_latest(spark, sf_dir):
-    """Upsert by key: the latest row of each owns it."""
+    """Upsert onto a library that has half of the keys: the latest row of each owns it, known ids stay."""
     e = table(spark, sf_dir, "events")
-    incoming = e.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("run_id"), "event_type", "value", F.col("event_id").alias("seq"))
-    existing = incoming.select(F.lit(None).cast("long").alias("id"), "url", "run_id", "event_type", "value").where("false")
-    return library.upsert_documents(existing, incoming).select(F.col("url").cast("long").alias("user_id"), F.col("run_id").alias("event_id"), "event_type", "value")
+    rows = e.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("run_id"), "event_type", "value", "user_id")
+    old = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1) & (F.col("user_id") % 2 == 0)
+    rows = e.select("event_id", (F.when(old, 1000 + F.col("user_id"))).alias("id")).join(rows, F.col("event_id") == F.col("run_id")).drop("event_id")
+    existing = rows.where("id is not null").select("id", "url", "run_id", "event_type", "value")
+    incoming = rows.where("id is null").select("url", "run_id", "event_type", "value", F.col("run_id").alias("seq"))
+    return library.upsert_documents(existing, incoming).select("id", F.col("url").cast("long").alias("user_id"), F.col("run_id").alias("event_id"), "event_type", "value")
 
 
-@register("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+@register("""SELECT user_id % 40 AS manifest, 'u' || event_id % 300 AS url, event_type AS title, 'A B, ' || event_type AS authors, CAST(0 AS BIGINT) AS size_bytes FROM events
+QUALIFY row_number() OVER (PARTITION BY event_id % 300 ORDER BY user_id % 40, event_id) = 1""")
 def q_migrate_first(spark, sf_dir):
-    """Migration: the first row of each key stays."""
-    return dedup.dedup_first(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+    """Documents of legacy manifests: the first of each address stays."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("manifest"), "event_id", F.concat(F.lit("u"), (F.col("event_id") % 300).cast("string")).alias("url"), F.col("event_type").alias("title"))
+    doc = F.struct("event_id", "url", "title", F.array(F.lit("A B"), "title").alias("authors"))
+    manifests = e.groupBy("manifest").agg(F.array_sort(F.collect_list(doc)).alias("documents"))
+    return library.migrate_manifest(manifests, "manifest").select("manifest", "url", "title", "authors", "size_bytes")
 
 
 @register("""SELECT CAST(o_custkey % 50 AS VARCHAR) AS library, arg_max(o_orderpriority, o_orderkey) AS query, (SELECT count(*) FROM lineitem l WHERE CAST(l.l_orderkey % 50 AS VARCHAR) = CAST(o.o_custkey % 50 AS VARCHAR)) AS n_docs
@@ -578,12 +592,14 @@ def q_library_summary(spark, sf_dir):
     return library.library_summary(runs, docs)
 
 
-@register("SELECT c_custkey, c_name AS title, row_number() OVER (PARTITION BY c_nationkey ORDER BY translate(c_mktsegment || c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_custkey) AS place FROM customer WHERE c_custkey % 3 <> 0")
+@register("""WITH d AS (SELECT *, CASE WHEN c_custkey % 3 <> 0 THEN 'f' || c_custkey % 1000 ELSE '' END AS path FROM customer), f AS (SELECT DISTINCT 'f' || s_suppkey * 7 % 1000 AS path FROM supplier)
+SELECT c_custkey, c_mktsegment AS title, row_number() OVER (PARTITION BY c_nationkey ORDER BY translate(c_mktsegment, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_name || c_custkey) AS place FROM d WHERE path <> '' AND path IN (SELECT path FROM f)""")
 def q_library_docs(spark, sf_dir):
-    """Documents of each library with a stored file, in title order."""
-    d = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
-    order = Window.partitionBy("c_nationkey").orderBy(library.ascii_lower(F.concat("c_mktsegment", "c_name")), "c_custkey")
-    return d.select("c_custkey", F.col("c_name").alias("title"), F.row_number().over(order).cast("long").alias("place"))
+    """Documents of each library with a stored file that is there, in title order."""
+    path = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("f"), (F.col("c_custkey") % 1000).cast("string"))).otherwise("")
+    d = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("title"), F.concat("c_name", F.col("c_custkey").cast("string")).alias("url"), path.alias("local_path"))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") * 7 % 1000).cast("string")).alias("path"))
+    return library.library_docs(d, files, "c_nationkey").select("c_custkey", "title", F.col("place").cast("long").alias("place"))
 
 
 @register("SELECT count(*) AS libraries, CAST(sum(n) AS BIGINT) AS docs, round(sum(b), 2) AS bytes FROM (SELECT c_nationkey, count(*) AS n, sum(c_acctbal) AS b FROM customer GROUP BY c_nationkey)")
@@ -731,10 +747,15 @@ def q_run_counters(spark, sf_dir):
     return events.run_counters(_progress(spark, sf_dir))
 
 
-@register("""SELECT event_id AS seq FROM (SELECT event_id, user_id, event_id % 12 AS url, event_type, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER (PARTITION BY user_id, event_id % 12 ORDER BY event_id) AS b FROM events)
-WHERE b IS NULL OR ms - b >= 864000000 OR event_type IN ('purchase', 'error')""")
+_FINAL_SQL = "event_type IN ('purchase', 'error')"
+
+
+@register(f"""WITH RECURSIVE p AS (SELECT event_id AS seq, user_id, event_id % 12 AS url, epoch_ms(ts) AS ms, {_FINAL_SQL} AS final, row_number() OVER (PARTITION BY user_id, event_id % 12 ORDER BY event_id) AS n FROM events),
+k AS (SELECT seq, user_id, url, n, ms AS last, true AS goes FROM p WHERE n = 1
+  UNION ALL SELECT p.seq, p.user_id, p.url, p.n, CASE WHEN p.final OR p.ms - k.last >= 864000000 THEN p.ms ELSE k.last END, p.final OR p.ms - k.last >= 864000000 FROM k JOIN p ON p.user_id = k.user_id AND p.url = k.url AND p.n = k.n + 1)
+SELECT seq FROM k WHERE goes""")
 def q_throttle(spark, sf_dir):
-    """Reports far enough apart, here ten days, and all final ones."""
+    """Reports far enough after the last one let through, here ten days, and all final ones."""
     return events.throttle(_progress(spark, sf_dir).withColumn("ms", F.floor(_micros("ts") / 1000).cast("long")), 864000000).select("seq")
 
 
@@ -744,7 +765,12 @@ def q_runlog_tail(spark, sf_dir):
     return events.runlog_tail(table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("seq")), 200).select("seq", _micros("ts").alias("t"))
 
 
-@register()
+@register("""WITH RECURSIVE c AS (SELECT 'u' || user_id AS backend, event_id AS seq, epoch_us(ts) / 1e8 AS ts, event_type = 'error' AS bad, event_type = 'click' AS good, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT backend, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS failures, CAST(0 AS DOUBLE) AS until, false AS open, false AS skipped FROM c
+  UNION ALL SELECT c.backend, c.seq, c.n, CASE WHEN c.ts < s.until THEN s.failures WHEN c.good THEN 0 ELSE s.failures + CAST(c.bad AS BIGINT) END,
+    CASE WHEN c.ts < s.until THEN s.until WHEN c.good THEN 0 WHEN c.bad AND s.failures >= 2 THEN c.ts + 300 ELSE s.until END,
+    c.ts < s.until OR (c.bad AND s.failures >= 2), c.ts < s.until FROM s JOIN c ON c.backend = s.backend AND c.n = s.n + 1)
+SELECT backend, seq, failures, open, skipped FROM s WHERE n > 0""")
 def q_circuit_breaker(spark, sf_dir):
     """The breaker of each engine, here each user, over its calls."""
     outcome = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "click", "success").otherwise("neutral")
@@ -776,7 +802,7 @@ _FLAG_WORDS = ("the", "and", "tion", "la")
 
 
 @register(f"""WITH k AS (SELECT *, {_URL_KEY_SQL} AS uk FROM pages QUALIFY row_number() OVER (PARTITION BY uk ORDER BY page_id) = 1),
-docs AS (SELECT page_id, url, {_TITLE_SQL} AS title, substr({_STRIP_SQL}, 1, 2000) AS abstract, 's' || (page_id % 8) AS source, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) AS rk, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM k),
+docs AS (SELECT page_id, url, {_TITLE_SQL} AS title, {_STRIP_SQL} AS abstract, 's' || (page_id % 8) AS source, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) AS rk, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM k),
 q AS (SELECT unnest(list_value({', '.join(repr(w) for w in _FLAG_WORDS)})) AS term),
 tok AS (SELECT page_id, source, unnest({_TOKENS.format('title')}) AS term, 3 AS w FROM docs UNION ALL SELECT page_id, source, unnest({_TOKENS.format('abstract')}), 1 FROM docs),
 tf AS (SELECT page_id, source, term, sum(w) AS tf FROM tok JOIN q USING (term) GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM docs GROUP BY ALL),

@@ -147,7 +147,7 @@ def internet_archive(df: DataFrame, metadata: DataFrame, payload: str = "payload
     ``metadata`` has ``identifier`` and its own ``payload``; items without a usable file go.
     """
     kept = [c for c in df.columns if c != payload]
-    items = df.select(*kept, F.posexplode(F.from_json(payload, ARCHIVE)["response"]["docs"]).alias("__at", "i")).withColumn("__id", coerce_string(F.col("i.identifier")))
+    items = df.withColumn("__row", F.monotonically_increasing_id()).select(*kept, "__row", F.posexplode(F.from_json(payload, ARCHIVE)["response"]["docs"]).alias("__at", "i")).withColumn("__id", coerce_string(F.col("i.identifier")))
     formats = F.lower(F.array_join(coerce_list(F.col("i.format")), " "))
     items = items.where(F.col("__id").isNotNull() & (formats.contains("pdf") | formats.contains("epub")))
     files = F.from_json("payload", ARCHIVE_FILES)["files"]
@@ -164,7 +164,7 @@ def internet_archive(df: DataFrame, metadata: DataFrame, payload: str = "payload
         },
         "internet_archive",
     )
-    rank = F.row_number().over(Window.partitionBy(*kept).orderBy("__at")) if kept else F.row_number().over(Window.orderBy("__at"))
+    rank = F.row_number().over(Window.partitionBy("__row").orderBy("__at"))
     return items.join(named, "__id").select(*kept, rank.alias("rank_in_source"), row.alias("__d")).select(*kept, "rank_in_source", "__d.*")
 
 

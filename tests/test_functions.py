@@ -179,7 +179,14 @@ def test_errors(spark):
     got = each(spark, ["HTTP 429", "Forbidden", "503", "timed out", "non-json", "x", None], display.classify_source_error)
     assert got == ["rate_limit", "forbidden", "server_error", "timeout", "parse_error", "other", "other"]
     got = each(spark, [None, "You're offline", "x (HTTP 404)", "only 500 bytes: too small", "file text is empty", "odd"], display.humanize_download_error)
-    assert got[0].startswith("The download") and got[1] == "You're offline" and "no longer" in got[2] and "error page" in got[3] and "no text" in got[4] and got[5] == "odd"
+    said = display.DOWNLOAD_MESSAGES
+    assert got == [said["none"], "You're offline", said["gone"], said["small"], said["no_text"], "odd"]
+    got = each(spark, ["HTTP 400", "http 403", "(HTTP 410)", "HTTP 429", "HTTP 503", "landing page", "Too Large", "no signature", "timeout", "DNS", "Cancelled by you"], display.download_error_kind)
+    assert got == ["rejected", "blocked", "gone", "busy", "server", "page", "large", "damaged", "timeout", "network", "cancelled"]
+    got = each(spark, ["rate_limit", "parse_error", "odd"], lambda k: display.humanize_source_kind(k, F.lit("arxiv")))
+    assert got == ["arXiv is rate-limiting us right now — we'll back off and keep going.", "Couldn't read arXiv's response.", "arXiv reported a problem."]
+    got = values(spark, [(400,), (403,), (410,), (408,), (502,), (418,)], "n int", content.http_status_message(F.col("n")))
+    assert got == [content.STATUS_MESSAGES[k] for k in (400, 401, 404, 408, 500)] + [content.OTHER_STATUS]
     assert each(spark, ["meta_search/web", "arxiv", "zz"], display.source_label) == ["DuckDuckGo", "arXiv", "zz"]
 
 

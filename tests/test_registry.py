@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from citelode.plans import registry
+from citelode.plans import registry, sessions  # noqa: F401 (sessions registers its queries)
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="the test tables aren't here")
@@ -53,6 +53,23 @@ def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, str(SF)).count() > 0
 
 
+def test_rest_works_without_training_data_operators(tmp_path):
+    """Without the subpackage, with or without the pipeline's file, the entry still imports and its queries run."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'q_idf' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    for gone in (None, copy / "corpus_pipeline.py"):
+        if gone:
+            gone.unlink()
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}, timeout=300)
+        subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_registry.py", "-k", "test_entry or q_retry_delays"], cwd=copy, check=True, timeout=300)
+
+
 def test_entry(spark):
     import __spark_entry__
 
