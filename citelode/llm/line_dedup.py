@@ -61,55 +61,50 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
     leaves = stage(leaves.where((F.col("total") >= min_docs) & (F.col("kinds") > 1)), "line-leaves")
     shapes = meet(keys, leaves, "leaf", F.col("rk"), "left_semi").select("tpl", "shape").distinct()
     varied = per_tpl.join(leaves, "leaf").join(shapes, "tpl")
-    tokens = varied.select(F.col("leaf").alias("node"), F.lit(DEPTH).alias("given"), "n", "tpl", "docs", F.posexplode(F.split("shape", " ")).alias("at", "token"))
+    lines = varied.select(F.col("leaf").alias("node"), F.lit(DEPTH).alias("given"), "n", "tpl", "docs", F.split("shape", " ").alias("tokens"))
     found = exact.select("tpl", F.col("tpl").alias("grp"))
-    for group in _groups(stage(tokens, "line-tokens"), min_docs):
+    for group in _groups(stage(lines, "line-nodes"), min_docs):
         found = found.unionByName(group)
     return keys, stage(found.distinct(), "line-recurring")
 
 
-def _groups(tokens: DataFrame, min_docs: int) -> Iterator[DataFrame]:
+def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
     """Lines ``tpl`` that share a generalised template, and its group ``grp``, round by round.
 
     A node starts as a leaf. Where it is a template, the lines that agree with it leave and the
     others are looked at again; where it is none, it is split at one more position, by each token
     that ``min_docs`` texts or more have there. Constant positions count beyond the ``given``
     ones, which lead to the node. Nodes of fewer texts than ``min_docs`` end. Each round lets
-    lines leave or splits at a position that isn't given, so rounds end.
+    lines leave or splits at a position that isn't given, so rounds end. A node says at most a
+    token for each of its lines' positions; its lines are dealt over salts where they meet it.
     """
+    by_line = F.col("tpl")
     while True:
-        kinds = tokens.groupBy("node", "at", "token").agg(F.sum("docs").alias("same"), F.max("n").alias("n"), F.max("given").alias("given"))
-        total = tokens.where("at = 0").groupBy("node").agg(F.sum("docs").alias("total"))
-        kinds = kinds.join(total.where(F.col("total") >= min_docs), "node").where((F.col("same") >= min_docs) | (F.col("same") >= AGREE * F.col("total")))
-        kinds = stage(kinds, "line-kinds")
-        constant = kinds.where(F.col("same") >= AGREE * F.col("total"))
-        enough = constant.groupBy("node").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.max("given").alias("given"))
-        enough = enough.where(F.col("fixed") - F.col("given") >= CONSTANT * (F.col("n") - F.col("given"))).where("n > given").select("node", "fixed")
-        agree = tokens.join(constant.select("node", "at", "token"), ["node", "at", "token"]).groupBy("node", "tpl").agg(F.count(F.lit(1)).alias("own"), F.max("docs").alias("docs"))
-        agree = agree.join(enough, "node").where("own = fixed")
-        full = agree.groupBy("node").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-        group = stage(agree.join(full, "node", "left_semi").select("tpl", F.col("node").alias("grp")), "line-group")
-        yield group
-
+        total = lines.groupBy("node").agg(F.sum("docs").alias("total"), F.max("n").alias("n"), F.max("given").alias("given")).where(F.col("total") >= min_docs)
+        kinds = lines.select("node", "docs", F.posexplode("tokens").alias("at", "token")).groupBy("node", "at", "token").agg(F.sum("docs").alias("same"))
+        kinds = stage(kinds.where(F.col("same") >= AGREE * min_docs).join(total, "node"), "line-kinds")
+        places = kinds.groupBy("node", "at").agg(F.max_by("token", "same").alias("token"), F.max("same").alias("top"), *[F.max(c).alias(c) for c in ("total", "n", "given")])
+        fixed = F.col("top") >= AGREE * F.col("total")
         # where no token is constant, those that many lines hold tell lines apart
-        often = kinds.where(F.col("same") >= min_docs)
-        places = often.groupBy("node", "at").agg(F.max("same").alias("top"), F.max("total").alias("total"))
-        places = places.where(F.col("top") < AGREE * F.col("total"))
-        cut = places.groupBy("node").agg(F.max(F.struct("top", (-F.col("at")).alias("back"))).alias("best")).select("node", (-F.col("best.back")).alias("at"))
-        done = group.select(F.col("grp").alias("node")).distinct()
-        ways = often.select("node", "at", "token").join(cut.join(done, "node", "left_anti"), ["node", "at"])
-        moves = tokens.join(ways, ["node", "at", "token"]).select("node", "tpl", "at", "token")
-        split = moves.select("node", "tpl", F.xxhash64("node", "at", "token").alias("next"), F.lit(1).alias("more"))
-        again = tokens.where("at = 0").join(done, "node", "left_semi").join(group.withColumnRenamed("grp", "node"), ["node", "tpl"], "left_anti")
-        again = again.select("node", "tpl", F.xxhash64("node", F.lit(-1)).alias("next"), F.lit(0).alias("more"))
-        rest = ways.select("node").distinct()
-        rest = tokens.where("at = 0").join(rest, "node", "left_semi").join(moves.select("node", "tpl"), ["node", "tpl"], "left_anti")
-        rest = rest.select("node", "tpl", F.xxhash64("node", F.lit(-1)).alias("next"), F.lit(0).alias("more"))
-        then = stage(split.unionByName(again).unionByName(rest), "line-moves")
-        small = then.groupBy("next").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("next")
-        then = then.join(small, "next", "left_semi")
-        tokens = stage(tokens.join(then, ["node", "tpl"]).select(F.col("next").alias("node"), (F.col("given") + F.col("more")).alias("given"), "n", "tpl", "docs", "at", "token"), "line-tokens")
-        if tokens.isEmpty():
+        apart = F.when(~fixed & (F.col("top") >= min_docs), F.struct("top", (-F.col("at")).alias("back")))
+        nodes = places.groupBy("node").agg(F.collect_list(F.when(fixed, F.struct("at", "token"))).alias("fixed"), F.max(apart).alias("best"), F.max("n").alias("__n"), F.max("given").alias("__given"))
+        enough = (F.size("fixed") - F.col("__given") >= CONSTANT * (F.col("__n") - F.col("__given"))) & (F.col("__n") > F.col("__given"))
+        nodes = nodes.select("node", F.when(enough, F.col("fixed")).alias("fixed"), (-F.col("best.back")).alias("cut"))
+        agrees = F.forall("fixed", lambda c: F.get("tokens", c["at"]) == c["token"])
+        held = stage(meet(lines, nodes, "node", by_line).withColumn("agrees", F.coalesce(agrees, F.lit(False))).drop("fixed"), "line-held")
+        full = held.where("agrees").groupBy("node").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
+        held = meet(held, full, "node", by_line, "left")
+        yield stage(held.where("agrees and support is not null").select("tpl", F.col("node").alias("grp")), "line-group")
+
+        left = held.where("(support is not null and not agrees) or (support is null and cut is not null)")
+        way = F.xxhash64("node", "cut", F.get("tokens", F.col("cut")))
+        ways = kinds.where(F.col("same") >= min_docs).select(F.xxhash64("node", "at", "token").alias("way"), F.lit(1).alias("more"))
+        moved = meet(left.withColumn("way", F.when(F.col("support").isNull(), way).otherwise(by_line)), ways, "way", by_line, "left")
+        split = F.col("more").isNotNull() & F.col("support").isNull()
+        moved = moved.select(F.when(split, F.col("way")).otherwise(F.xxhash64("node", F.lit(-1))).alias("node"), F.when(split, F.col("given") + 1).otherwise(F.col("given")).alias("given"), "n", "tpl", "docs", "tokens")
+        several = moved.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("node")
+        lines = stage(meet(moved, several, "node", by_line, "left_semi"), "line-nodes")
+        if lines.isEmpty():
             return
 
 
