@@ -38,7 +38,7 @@ from citelode.llm.common import discard, hash_words, mix64, stage, trim, words_o
 WINDOW = 20
 SHORT = 8
 #: Characters of text for each group that suffixes are dealt into.
-GROUP_CHARS = 24_000_000
+GROUP_CHARS = 8_000_000
 #: Suffixes that a task holds before it deals them out.
 HOLD = 2_000_000
 #: Suffixes of a group that one task takes at once, and lengths of prefixes that groups are dealt by.
@@ -121,7 +121,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
     span = window - short_len + 1
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), row_key(text).alias("rk")).where("text is not null")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(64, chars // GROUP_CHARS)
+    parts = max(16, chars // GROUP_CHARS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Short prefixes by part, one entry for each that a task holds; where it holds several suffixes they are marked here."""
@@ -227,7 +227,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
             for x, y in _cuts(part):
                 own, local = np.unique(doc[x:y], return_inverse=True)
                 names = np.stack([ids[own], rks[own]], axis=1)
-                out.append((int(part[x]), 0, y - x, at[x:y].tobytes(), np.stack([c[x:y] for c in prefixes]).tobytes(), None, local.astype(np.uint32).tobytes(), names.tobytes()))
+                out.append((int(part[x]), 0, y - x, at[x:y].tobytes(), _packed([c[x:y] for c in prefixes]), None, local.astype(np.uint32).tobytes(), names.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE, strict=True)], names=_NAMES)
 
         for batch in batches:
@@ -248,7 +248,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
 
     def leaves(group: pd.DataFrame) -> pd.DataFrame:
         """Leaves below the deep nodes of a group's subtree, without the first of each."""
-        prefixes = [np.concatenate(c) for c in zip(*(np.frombuffer(x, np.uint64).reshape(len(lengths), -1) for x in group["prefixes"]), strict=True)]
+        prefixes = [np.concatenate(c) for c in zip(*(_unpacked(x, len(lengths)) for x in group["prefixes"]), strict=True)]
         at = _joined(list(group["at"]), np.uint32)
         names = [np.frombuffer(n, np.int64).reshape(-1, 2)[np.frombuffer(d, np.uint32)] for n, d in zip(group["names"], group["doc"], strict=True)]
         ids, rk = np.concatenate(names).T
@@ -277,6 +277,16 @@ _PIECE = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64
 _SCHEMA = "part int, sub long, n long, at binary, prefixes binary, rk long, doc binary, names binary"
 
 
+def _packed(prefixes: list[np.ndarray]) -> bytes:
+    """Fingerprints of the shorter prefixes, which only deal and sort, in 32 bits, and of the longest in 64."""
+    return prefixes[-1].tobytes() + b"".join((c & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for c in prefixes[:-1])
+
+
+def _unpacked(raw: bytes, levels: int) -> list[np.ndarray]:
+    n = len(raw) // (8 + 4 * (levels - 1))
+    return [*(np.frombuffer(raw, np.uint32, n, 8 * n + 4 * n * k) for k in range(levels - 1)), np.frombuffer(raw, np.uint64, n)]
+
+
 def _dealt_again(pieces: DataFrame, sizes: DataFrame, level: int, levels: int, fit: int) -> DataFrame:
     """The pieces, those of groups in ``sizes`` dealt anew by the prefixes of the next length."""
 
@@ -288,13 +298,13 @@ def _dealt_again(pieces: DataFrame, sizes: DataFrame, level: int, levels: int, f
                 if total is None:
                     out.append(tuple(row[c] for c in _NAMES))
                     continue
-                prefixes = np.frombuffer(row["prefixes"], np.uint64).reshape(levels, -1)
-                bucket = prefixes[level] % np.uint64(-(-total // fit))
+                prefixes = _unpacked(row["prefixes"], levels)
+                bucket = (prefixes[level] % prefixes[level].dtype.type(-(-total // fit))).astype(np.int64)
                 at, doc = np.frombuffer(row["at"], np.uint32), np.frombuffer(row["doc"], np.uint32)
                 for b in np.unique(bucket).tolist():
                     mine = bucket == b
                     sub = int(mix64(np.array([(row["sub"] & 0xFFFFFFFFFFFFFFFF) ^ (b + 1)], np.uint64))[0].view(np.int64))
-                    out.append((row["part"], sub, int(mine.sum()), at[mine].tobytes(), prefixes[:, mine].tobytes(), None, doc[mine].tobytes(), row["names"]))
+                    out.append((row["part"], sub, int(mine.sum()), at[mine].tobytes(), _packed([c[mine] for c in prefixes]), None, doc[mine].tobytes(), row["names"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE, strict=True)] if out else [pa.nulls(0, k) for k in _PIECE], names=_NAMES)
 
     return pieces.join(sizes, ["part", "sub"], "left").select(*_NAMES, "total").mapInArrow(split, _SCHEMA)
