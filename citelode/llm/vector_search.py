@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from citelode.llm.common import discard, stage
 
-LEAF = 128
+LEAF = 512
 #: Vectors of a shard's part, and queries that one task takes through a part's tree, on average.
 SHARD = 8192
 QUERIES = 100_000
