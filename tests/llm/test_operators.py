@@ -161,6 +161,42 @@ def test_html_article_keeps_blocks_that_many_pages_hold(spark):
     assert {r.page_id: r.text for r in out.collect()} == want
 
 
+def test_html_names_inside_an_article(spark):
+    rng = random.Random(SEED)
+    rows, want = [], {}
+    for i in range(30):
+        own = [prose(rng, 12) for _ in range(3)]
+        html = page(f"<article><p>We share the <span class='related'>related</span> {own[0]}</p><div class='notice-of-award'>{own[1]}</div><div class='share'>tell {prose(rng, 1)}</div><p>{own[2]}</p></article>")
+        rows.append((i, "https://h/x" if i < 25 else f"https://h{i}/x", html))
+        want[i] = f"We share the related {own[0]}\n\n{own[1]}\n\n{own[2]}"
+    rows.append((99, "https://h/deep", "<div>" * 3000 + "deep" + "</div>" * 3000))
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == want | {99: "deep"}
+
+
+def test_html_importance_is_the_entropy_of_shared_nodes(spark):
+    """Importances of one host's nodes against a count by hand."""
+    import math
+
+    pages = [f"<div class=a><p>same</p></div><div class=b><p>{'twice' if i < 2 else 'own' + str(i)}</p></div>" for i in range(8)]
+    roots = [html_text.parse(p) for p in pages]
+    held = [html_text.nodes_of(r) for r in roots]
+    low = {n: 1 - math.log(k) / math.log(8) for n in set().union(*held) if (k := sum(n in h for h in held)) > 1}
+    value = html_text.importances(roots[0], low)
+    a, b = (x for x in roots[0].holds)
+    same, twice = 0.0, 1 - math.log(2) / math.log(8)
+    leaf = lambda content: (1 - html_text.DAMP) * 0 + html_text.DAMP * content  # noqa: E731  (all pages share the presentation)
+    assert value[id(a)] == pytest.approx(leaf(leaf(same))) and value[id(b)] == pytest.approx(leaf(leaf(twice)))
+    assert html_text.main_blocks(roots[5], low) == ["own5"]
+
+
+def test_html_clashing_names_and_empty(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "old", 7), (1, "u", "<p>x</p>", "old", 7)], "page_id long, url string, html string, text string, n_chars int")
+    out = html_text.extract(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and [(r.text, r.n_chars) for r in out.collect()] == [("x", 1)] * 2
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_html_copies_keep_their_text(spark):
     html = page("<article><p>the same words on every page</p></article>")
     rows = [(i, None if i % 2 else "https://h/x", html) for i in range(20)]
@@ -314,6 +350,18 @@ def test_nearest(spark):
         assert sorted(found) == [(i + 1, k, pytest.approx(s, abs=0)) for i, (s, k) in enumerate(d)]
 
 
+def test_vectors_at_one_distance_and_none_at_all(spark):
+    x = np.eye(1536)
+    tree = vector_search.VantageTree(x, np.arange(1536))
+    found, d = tree.search(x[:3], np.arange(3), 4)
+    assert found.tolist() == [[1, 2, 3, 4], [0, 2, 3, 4], [0, 1, 3, 4]] and np.allclose(d, 2**0.5)
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, rank int, score double")
+    assert vector_search.nearest(empty).count() == 0
+    far = [(0, [1e200, 1.0]), (1, [-1e200, 1.0]), (2, [1.0, 1.0])]  # distances overflow, candidates stay
+    out = vector_search.nearest(spark.createDataFrame(far, "vec_id long, embedding array<double>"), every=1).collect()
+    assert sorted((r.query_id, r.vec_id) for r in out) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
+
+
 def test_relaxed_search_keeps_recall():
     rng = np.random.default_rng(SEED)
     x, ids = rng.normal(size=(3000, 4)), np.arange(3000)
@@ -396,6 +444,23 @@ def test_passages(spark, window):
     assert {r.doc_id: (r.n_words, r.n_removed, b" ".join(r.text.encode().split())) for r in out} == brute_passages(rows, window)
 
 
+def test_groups_that_do_not_fit_are_dealt_by_longer_prefixes(spark):
+    rng = random.Random(SEED)
+    start = prose(rng, 8)
+    rows = [(i, f"{start} {prose(rng, i % 5)} {start} {prose(rng, 30, 'ab')}") for i in range(60)] + [(100 + i, f"{prose(rng, 9)} {start} same {prose(random.Random(i % 7), 30)}") for i in range(60)]
+    found = substring_dedup.repeats(documents(spark, rows), 20, fit=20)
+    starts = {r.rk: sorted(n for x in r.starts for n in np.frombuffer(bytes(x), np.uint32).tolist()) for r in found.collect()}
+    keys = {r.doc_id: r.rk for r in documents(spark, rows).select("doc_id", substring_dedup.row_key().alias("rk")).collect()}
+    seen = set()
+    for k, t in rows:
+        w = t.split()
+        at = [i for i in range(len(w) - 19) if tuple(w[i : i + 20]) in seen or seen.add(tuple(w[i : i + 20]))]
+        assert starts.get(keys[k], []) == at
+    assert substring_dedup.depths(20) == [8, 12, 16, 20] and substring_dedup.depths(3) == [3]
+    a, b, c = (np.array(x) for x in ([1, 1, 1, 2], [5, 5, 6, 6], [9, 9, 9, 9]))
+    assert substring_dedup.met_at([a, b, c]).tolist() == [0, 3, 1, 0]
+
+
 def test_passages_edges(spark):
     rows = [(*r, 5) for r in edge_rows()]
     out = substring_dedup.drop_repeats(documents(spark, rows, "doc_id long, text string, rk int")).collect()
