@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from citelode.llm.common import stage
+
 #: Branches, and blocks outside an article, with less importance than this are removed.
 BRANCH = 0.4
 #: Priors of branches that are never content, that their tag or name marks, and whose name only
@@ -337,6 +339,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         yield from flush()
 
     counts = pages.select("__host", F.col(html).alias("__html")).mapInArrow(count, "host string, node long, n long").groupBy("host", "node").agg(F.sum("n").alias("k")).where(F.col("k") >= MIN_SHARED)
+    counts = stage(counts, "site-nodes")  # read twice below, and small
     # Node 0 stands for every page of its host; it meets the others over salts.
     salt = F.pmod(F.col("node"), F.lit(SALTS)).cast("int")
     many = counts.where(f"node = 0 and k >= {MIN_PAGES}").select("host", F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -24,6 +24,8 @@ DIM = 1024
 NGRAM = 3
 #: At most about so many labelled rows of each language are learned from.
 MAX_PER_LANG = 4000
+#: Languages learned at most, those of the most rows; other labels are taken for dirt.
+MAX_LANGS = 1000
 UND = "und"
 #: Least cosines of known text, in standard deviations of chance ones (``dim ** -0.5``): for
 #: texts up to so many characters, which share few n-grams with a prototype, and for longer ones.
@@ -156,11 +158,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     Rows whose text or language is null, or whose text has no letter, teach nothing. Of each
     language, rows are taken by a hash of ``key`` so that about ``max_per_lang`` remain; this
-    documented bound is what makes the gathered partial sums (32 tasks by languages by ``dim``)
-    small enough for the driver. An empty table gives no prototypes.
+    documented bound, and ``MAX_LANGS``, make the gathered partial sums (32 tasks by languages by
+    ``dim``) small enough for the driver. An empty table gives no prototypes.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = {r.lang: r.n for r in counted.collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, max_per_lang / n) * 2.0**20)])
@@ -186,8 +189,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
 
     ``und`` and 0 where the text is null or has no letter, or where no language was learned.
     Equal cosines go to the language first in the alphabet. All other columns pass through
-    untouched; ``df`` must not hold the two new names.
+    untouched; columns of ``df`` with the two new names are replaced.
     """
+    df = df.drop(*({"lang_pred", "score"} - {text}))
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else None
     dim = len(matrix) if names else DIM

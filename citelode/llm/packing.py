@@ -32,6 +32,8 @@ SLACK = 8
 #: Items that one group of a later round packs, and a bound on those of the last.
 GROUP = 50_000
 CACHE = 800_000
+#: Characters of the pre-tokens whose ids are kept.
+CACHE_CHARS = 32_000_000
 #: Texts of these characters alone are cut into pre-tokens by ``_SIMPLE``; the tokenizer cuts others itself.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ÿĀ-ɏ–—‘-“”„…€]*")
 _SIMPLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -53,6 +55,7 @@ class TokenCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.size = 0
         self.words = self._by_rank(json.loads(self.tokenizer.to_str()))
 
     def _by_rank(self, said: dict):
@@ -78,10 +81,12 @@ class TokenCounter:
     def ids(self, texts: list[str]) -> list[bytes]:
         simple = [self.words is not None and bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
         cut = [_SIMPLE.findall(t) if s else None for t, s in zip(texts, simple, strict=True)]
-        if len(self.kept) > CACHE:
+        if len(self.kept) > CACHE or self.size > CACHE_CHARS:
             self.kept.clear()
+            self.size = 0
         kept = self.kept
         for w in {w for c in cut if c is not None for w in c} - kept.keys():
+            self.size += len(w)
             kept[w] = struct.pack(f"<{len(found)}I", *found) if (found := self.words.encode_ordinary(w)) else b""
         get = kept.__getitem__
         whole = iter(self._whole([t for t, s in zip(texts, simple, strict=True) if not s]))

@@ -22,6 +22,8 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 SPACE = "▁"
 #: Words whose ids a worker keeps; beyond it all are forgotten.
 CACHE = 600_000
+#: Characters of the words whose ids are kept.
+CACHE_CHARS = 32_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int64).max
 
@@ -112,6 +114,7 @@ class PieceModel:
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in own)
         self.word = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.kept: dict[str, bytes] = {}
+        self.size = 0
         self.surface = np.empty(len(self.pieces), object)
         for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)):
             self.surface[i] = b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
@@ -199,13 +202,15 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, begin and end ids included, as little-endian unsigned 32-bit integers."""
         cut = [self.word.findall(((SPACE if self.prefix else "") + t).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.kept) > CACHE:
+        if len(self.kept) > CACHE or self.size > CACHE_CHARS:
             self.kept.clear()
+            self.size = 0
         new = list({w for c in cut for w in c} - self.kept.keys())
         size, some = 0, []
         for w in new:
             some.append(w)
             size += len(w)
+            self.size += len(w)
             if size > 1_000_000:
                 self._encode_words(some)
                 size, some = 0, []
@@ -232,8 +237,9 @@ def encode_column(df: DataFrame, path: str, text: str = "text", rows: int = 256)
     """``df`` without ``text``, with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``.
 
     Begin and end ids are included. Null and empty texts have those two alone and decode to the
-    empty text. Whole texts are encoded; ``df`` must not hold the new names.
+    empty text. Whole texts are encoded; columns of ``df`` with the new names are replaced.
     """
+    gone = {text, "ids", "decoded"}
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
@@ -242,9 +248,9 @@ def encode_column(df: DataFrame, path: str, text: str = "text", rows: int = 256)
                 batch = whole.slice(at, rows)
                 ids = model.encode([t.as_py() or "" for t in batch.column(text)])
                 back = [model.decode(np.frombuffer(x, "<u4")) for x in ids]
-                kept = [c for c in batch.schema.names if c != text]
+                kept = [c for c in batch.schema.names if c not in gone]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[*kept, "ids", "decoded"])
 
-    fields = [f for f in df.schema.fields if f.name != text]
+    fields = [f for f in df.schema.fields if f.name not in gone]
     return df.mapInArrow(convert, StructType([*fields, StructField("ids", BinaryType()), StructField("decoded", StringType())]))
 

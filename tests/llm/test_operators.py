@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citelode.llm import common, html_text, lang_id, license_scan, line_dedup, ngram_join, packing, sentence_pieces, substring_dedup, vector_search
+from citelode.llm import common, html_text, lang_id, license_scan, line_dedup, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
 from citelode.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -517,6 +517,26 @@ def test_cues_cover_every_template():
         assert sum(bool(s & cues) for s in some) > (1 - license_scan.LEAST) * len(some)
 
 
+# --- clashing names -----------------------------------------------------------------------------
+
+
+def test_columns_with_the_new_names_are_replaced(spark):
+    rows = [(1, "one two three", "aa", "old", 7), (1, "one two three", "aa", "old", 7), (2, None, None, "old", 7)]
+
+    def run(f, a, b, drop=()):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {a} string, {b} int")
+        out = f(df)
+        assert sorted(out.columns) == sorted([*(c for c in df.columns if c not in drop and c not in (a, b)), a, b, *(c for c in out.columns if c not in df.columns)])
+        assert out.count() == 3 and out.where(F.col(a).cast("string") == "old").count() == 0 and f(df.where("false")).count() == 0
+        return out
+
+    run(lambda d: lang_id.predict(d, lang_id.train(d)), "lang_pred", "score")
+    run(lambda d: sentence_pieces.encode_column(d, tokenizer_path("piece_bpe_32k.model")), "decoded", "ids", ("text",))
+    run(webp.media_columns, "feature", "width", ("text",))
+    run(lambda d: line_dedup.drop_recurring(d), "n_lines", "n_dropped")
+    run(lambda d: substring_dedup.drop_repeats(d, 3), "n_words", "n_removed")
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
