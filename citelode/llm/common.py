@@ -43,17 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[0]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, clean: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts the lineage: executors lost later make no one recompute what stands before, and the
-    shuffle files of what was written go at once instead of at the driver's next collection.
+    Cuts the lineage: executors lost later make no one recompute what stands before. With
+    ``clean`` the shuffle files of what was written go at once, else at the driver's next
+    collection: each removal takes a thread of every executor, which small ones aren't worth.
     ``discard`` deletes what was written; the rest goes with the shared folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_CLEANUP, str(clean).lower())
     try:
         df.write.parquet(path)
     finally:
@@ -148,7 +149,7 @@ def connected_components(edges: DataFrame, name: str, local: int = LOCAL_EDGES)
     minimum from each task. Rounds grow with the logarithm of the longest chain. Edges never
     reach the driver, and the result is the same either way.
     """
-    cur = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    cur = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name, clean=False)
     if cur.count() <= local:
 
         def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,7 @@ def connected_components(edges: DataFrame, name: str, local: int = LOCAL_EDGES)
                     some = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[roots[some]])], names=["node", "root"])
 
-        out = stage(cur.coalesce(1).mapInArrow(resolve, "node long, root long"), name)
+        out = stage(cur.coalesce(1).mapInArrow(resolve, "node long, root long"), name, clean=False)
         discard(cur)
         return out
     previous = None

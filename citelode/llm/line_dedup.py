@@ -58,14 +58,14 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
 
     # written first, so its size is known and decides how the lines meet it
     leaves = per_tpl.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    leaves = stage(leaves.where((F.col("total") >= min_docs) & (F.col("kinds") > 1)), "line-leaves")
+    leaves = stage(leaves.where((F.col("total") >= min_docs) & (F.col("kinds") > 1)), "line-leaves", clean=False)
     shapes = meet(keys, leaves, "leaf", F.col("rk"), "left_semi").select("tpl", "shape").distinct()
     varied = per_tpl.join(leaves, "leaf").join(shapes, "tpl")
     lines = varied.select(F.col("leaf").alias("node"), F.lit(DEPTH).alias("given"), "n", "tpl", "docs", F.split("shape", " ").alias("tokens"))
     found = exact.select("tpl", F.col("tpl").alias("grp"))
-    for group in _groups(stage(lines, "line-nodes"), min_docs):
+    for group in _groups(stage(lines, "line-nodes", clean=False), min_docs):
         found = found.unionByName(group)
-    return keys, stage(found.distinct(), "line-recurring")
+    return keys, stage(found.distinct(), "line-recurring", clean=False)
 
 
 def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
@@ -82,7 +82,7 @@ def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
     while True:
         total = lines.groupBy("node").agg(F.sum("docs").alias("total"), F.max("n").alias("n"), F.max("given").alias("given")).where(F.col("total") >= min_docs)
         kinds = lines.select("node", "docs", F.posexplode("tokens").alias("at", "token")).groupBy("node", "at", "token").agg(F.sum("docs").alias("same"))
-        kinds = stage(kinds.where(F.col("same") >= AGREE * min_docs).join(total, "node"), "line-kinds")
+        kinds = stage(kinds.where(F.col("same") >= AGREE * min_docs).join(total, "node"), "line-kinds", clean=False)
         places = kinds.groupBy("node", "at").agg(F.max_by("token", "same").alias("token"), F.max("same").alias("top"), *[F.max(c).alias(c) for c in ("total", "n", "given")])
         fixed = F.col("top") >= AGREE * F.col("total")
         # where no token is constant, those that many lines hold tell lines apart
@@ -91,10 +91,10 @@ def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
         enough = (F.size("fixed") - F.col("__given") >= CONSTANT * (F.col("__n") - F.col("__given"))) & (F.col("__n") > F.col("__given"))
         nodes = nodes.select("node", F.when(enough, F.col("fixed")).alias("fixed"), (-F.col("best.back")).alias("cut"))
         agrees = F.forall("fixed", lambda c: F.get("tokens", c["at"]) == c["token"])
-        held = stage(meet(lines, nodes, "node", by_line).withColumn("agrees", F.coalesce(agrees, F.lit(False))).drop("fixed"), "line-held")
+        held = stage(meet(lines, nodes, "node", by_line).withColumn("agrees", F.coalesce(agrees, F.lit(False))).drop("fixed"), "line-held", clean=False)
         full = held.where("agrees").groupBy("node").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
         held = meet(held, full, "node", by_line, "left")
-        yield stage(held.where("agrees and support is not null").select("tpl", F.col("node").alias("grp")), "line-group")
+        yield stage(held.where("agrees and support is not null").select("tpl", F.col("node").alias("grp")), "line-group", clean=False)
 
         left = held.where("(support is not null and not agrees) or (support is null and cut is not null)")
         way = F.xxhash64("node", "cut", F.get("tokens", F.col("cut")))
@@ -103,7 +103,7 @@ def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
         split = F.col("more").isNotNull() & F.col("support").isNull()
         moved = moved.select(F.when(split, F.col("way")).otherwise(F.xxhash64("node", F.lit(-1))).alias("node"), F.when(split, F.col("given") + 1).otherwise(F.col("given")).alias("given"), "n", "tpl", "docs", "tokens")
         several = moved.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("node")
-        lines = stage(meet(moved, several, "node", by_line, "left_semi"), "line-nodes")
+        lines = stage(meet(moved, several, "node", by_line, "left_semi"), "line-nodes", clean=False)
         if lines.isEmpty():
             return
 
