@@ -30,7 +30,7 @@ WIDTH = 64
 UNIT = WIDTH * 3
 MAX_ROWS = 32
 #: Images decoded together, and the largest of them in pixels that still go together.
-TOGETHER = 1024
+TOGETHER = 2048
 
 # Fixed values of the format: the order of code length codes, and the (x, y) of short distances.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -572,28 +572,48 @@ def decode(data: bytes) -> list[np.ndarray]:
 
 
 class BitWriter:
-    """Collects numbers and how many bits each takes, least significant first."""
+    """Collects fields: numbers of at most 31 bits, with how many bits each takes in the upper half."""
 
     def __init__(self) -> None:
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self._value: list[int] = []
-        self._size: list[int] = []
+        self.done: list[np.ndarray] = []
+        self._open: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        self._value.append(value)
-        self._size.append(n)
-
-    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values += [np.array(self._value, np.int64), values]
-        self.sizes += [np.array(self._size, np.int64), sizes]
-        self._value, self._size = [], []
-
-    def bytes(self) -> bytes:
-        value, size = (np.concatenate([*x, np.array(y, np.int64)]) for x, y in ((self.values, self._value), (self.sizes, self._size)))
-        value, size = value[size > 0], size[size > 0]
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return np.packbits((np.repeat(value, size) >> within).astype(np.uint8) & 1, bitorder="little").tobytes()
+        self._open.append(value | n << 32)
+
+    def put_all(self, fields: np.ndarray) -> None:
+        if self._open:
+            self.done.append(np.array(self._open, np.int64))
+            self._open = []
+        self.done.append(fields)
+
+    def fields(self) -> np.ndarray:
+        """All fields, filled up to whole bytes."""
+        self.put_all(np.empty(0, np.int64))
+        out = np.concatenate(self.done)
+        fill = -int((out >> 32).sum()) % 8
+        return np.append(out, fill << 32) if fill else out
+
+
+def _packed(writers: list[BitWriter]) -> list[bytes]:
+    """The bytes of several writers, made together."""
+    fields = [w.fields() for w in writers]
+    flat = np.concatenate(fields)
+    value, size = flat.astype(np.int32), (flat >> 32).astype(np.int32)
+    lows = np.cumsum(size, dtype=np.int64)
+    ends = (lows[np.cumsum([len(f) for f in fields]) - 1] >> 3).tolist()
+    lows -= size
+    out, raw = [], np.empty(0, np.uint8)
+    cuts = np.searchsorted(lows, np.arange(0, int(lows[-1]) + 1, 1 << 17)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):  # so many bits at once
+        some = size[lo:hi]
+        within = np.arange(int(some.sum()), dtype=np.int32) - np.repeat((lows[lo:hi] - lows[lo]).astype(np.int32), some)
+        raw = np.concatenate((raw, (np.repeat(value[lo:hi], some) >> within & 1).astype(np.uint8)))
+        whole = len(raw) >> 3 << 3
+        out.append(np.packbits(raw[:whole], bitorder="little").tobytes())
+        raw = raw[whole:]
+    data = b"".join(out)
+    return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
 
 #: Lengths of the code that code lengths are written with, the same in every file: no length and
@@ -644,10 +664,11 @@ _HEAD_OF, _HEAD_SIZE = _codes(np.array(_HEAD)), np.array(_HEAD, np.int64)
 _HEAD_CODES = _HEAD_OF.tolist()
 #: What precedes the lengths: no simple code, the code for lengths, all of the alphabet.
 _HEAD_BITS, _HEAD_LENGTH = (len(_HEAD) - 4) << 1 | sum(_HEAD[k] << (5 + 3 * i) for i, k in enumerate(CODE_LENGTH_ORDER)), 1 + 4 + 3 * len(_HEAD) + 1
+_HEAD_BITS, _HEAD_LENGTH = [_HEAD_BITS & 0x3FFFFFFF, _HEAD_BITS >> 30 & 0x3FFFFFFF, _HEAD_BITS >> 60], [30, 30, _HEAD_LENGTH - 60]
 
 
-def _gap_fields(most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of up to ``most`` symbols without a code, what is written for them: numbers and their bits."""
+def _gap_fields(most: int) -> np.ndarray:
+    """For runs of up to ``most`` symbols without a code, the fields that are written for them."""
     values, sizes = np.zeros((most + 1, most // 138 + 2), np.int64), np.zeros((most + 1, most // 138 + 2), np.int64)
     for gap in range(most + 1):
         left, at = gap, 0
@@ -659,45 +680,48 @@ def _gap_fields(most: int) -> tuple[np.ndarray, np.ndarray]:
             values[gap, at], sizes[gap, at] = _HEAD_CODES[17] | (left - 3) << _HEAD[17], _HEAD[17] + 3
         else:
             values[gap, at], sizes[gap, at] = _HEAD_CODES[0] * 5, left * _HEAD[0]
-    return values, sizes
+    return values | sizes << 32
 
 
 _GAPS = _gap_fields(LITERALS + LENGTHS + (1 << CACHE_BITS))
+#: The field of each code length, nothing for none at the end.
+_LENGTHS = np.where(np.arange(len(_HEAD)) > 0, _HEAD_OF | _HEAD_SIZE << 32, 0)
+_HEAD_FIELDS = np.array(_HEAD_BITS, np.int64) | np.array(_HEAD_LENGTH, np.int64) << 32
 
 
-def _write_code(out: BitWriter, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Writes a prefix code for symbols with these counts, so many times; all symbols' codes and their lengths."""
+def _write_code(out: BitWriter, counts: np.ndarray, times: int = 1) -> np.ndarray | None:
+    """Writes a prefix code for symbols with these counts, so many times; the field of each, None for one symbol, which takes no bits."""
     used = counts.nonzero()[0].tolist() or [0]
     lengths = np.zeros(len(counts), np.int64)
+    alone = len(used) == 1
     if len(used) <= 2 and used[-1] < LITERALS:
         for _ in range(times):
             out.put(0b101 | (len(used) - 1) << 1, 3)  # simple, so many symbols, the first in eight bits
             for s in used:
                 out.put(s, 8)
-        lengths[used] = len(used) - 1
-        return (lengths > 0) * (np.cumsum(lengths) - 1), lengths
-    if len(used) == 1:
+        if not alone:
+            lengths[used] = np.array([0, 1]) | 1 << 32
+        return None if alone else lengths
+    if alone:
         written = [1]
     else:
         lengths = _code_lengths(counts)
         written = lengths[used].tolist()
-    gap = np.diff(np.array([-1, *used, len(counts)])) - 1
-    n = np.array([*written, 0])
-    values = np.concatenate((_GAPS[0][gap], _HEAD_OF[n][:, None]), axis=1)
-    sizes = np.concatenate((_GAPS[1][gap], np.where(n > 0, _HEAD_SIZE[n], 0)[:, None]), axis=1)
-    flat = [np.concatenate(([x], y.ravel())) for x, y in ((_HEAD_BITS, values), (_HEAD_LENGTH, sizes))]
+    gap = np.array([*used, len(counts)])
+    gap[1:] -= gap[:-1] + 1
+    flat = np.concatenate((_HEAD_FIELDS, np.concatenate((_GAPS.take(gap, axis=0), _LENGTHS.take([*written, 0])[:, None]), axis=1).ravel()))
     for _ in range(times):
-        out.put_all(*flat)
-    return (_codes(lengths) if len(used) > 1 else lengths), lengths
+        out.put_all(flat)
+    return None if alone else _codes(lengths) | lengths << 32
 
 
-def _prefixed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix, extra bits and their number, of lengths or distances."""
+def _prefixed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes and fields of extra bits, of lengths or distances."""
     v = n - 1
-    high = np.maximum(np.floor(np.log2(np.maximum(v, 1))).astype(np.int64), 1)
+    high = np.maximum(np.frexp(v)[1].astype(np.int64) - 1, 1)
     small = v < 4
-    extra = np.where(small, 0, high - 1)
-    return np.where(small, v, 2 * high + ((v >> (high - 1)) & 1)), np.where(small, 0, v & ((1 << extra) - 1)), extra
+    extra = high - 1
+    return np.where(small, v, 2 * high + ((v >> extra) & 1)), np.where(small, 0, v & ((1 << extra) - 1) | extra << 32)
 
 
 @lru_cache(maxsize=8)
@@ -724,13 +748,13 @@ def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     before = np.full(n, -1, np.int64)
     before[order[1:][same]] = order[:-1][same]
-    values, out, at = argb.tolist(), [], 0
-    for i in np.flatnonzero(before >= 0).tolist():
+    out, at, found = [], 0, np.flatnonzero(before >= 0)
+    for i, j in zip(found.tolist(), before[found].tolist(), strict=True):
         if i < at:
             continue
-        j, k, most = int(before[i]), 0, min(len(values) - i, MOST_COPY)
-        while k < most and values[i + k] == values[j + k]:
-            k += 1
+        most = min(len(argb) - i, MOST_COPY)
+        differs = argb[i : i + most] != argb[j : j + most]
+        k = int(differs.argmax()) if differs.any() else most
         if k >= LEAST_COPY:
             out.append((i, k, i - j))
             at = i + k
@@ -764,25 +788,26 @@ def _write_pixels(out: BitWriter, argb: np.ndarray, width: int, main: bool) -> N
     if copies:
         at, lengths, back = np.array(copies).T
         near = _near(width)
-        extra, far = np.zeros((4, n), np.int64), np.zeros(n, np.int64)
-        prefix, extra[0, at], extra[1, at] = _prefixed(lengths)
-        symbol[at] = LITERALS + prefix
-        far[at], extra[2, at], extra[3, at] = _prefixed(np.array([near.get(d, d + len(NEAR)) for d in back.tolist()]))
+        extra, far = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        prefix, extra[:, at] = _prefixed(np.stack((lengths, [near.get(d, d + len(NEAR)) for d in back.tolist()])))
+        symbol[at], far[at] = LITERALS + prefix[0], prefix[1]
         literal[at] = False
         symbol, argb, literal, far, extra = symbol[token], argb[token], literal[token], far[token], extra[:, token]
     green = _write_code(out, np.bincount(symbol, minlength=LITERALS + LENGTHS + ((1 << CACHE_BITS) if cache else 0)))
     red, blue, alpha = argb >> 16 & 255, argb & 255, argb >> 24
     both = _write_code(out, np.bincount(np.concatenate((red[literal], blue[literal])), minlength=LITERALS), 2)  # red and blue share one
-    fields = [(green[0][symbol], green[1][symbol])]
-    fields += [(both[0][v] * literal, both[1][v] * literal) for v in (red, blue)] if both[1].any() else []
+    fields = [] if green is None else [green.take(symbol)]
+    held = (lambda x: x) if not (copies or cache) else (lambda x: x * literal)
+    after = [] if both is None else [held(both.take(v)) for v in (red, blue)]
     opaque = _write_code(out, np.bincount(alpha[literal], minlength=LITERALS))
-    fields += [(opaque[0][alpha] * literal, opaque[1][alpha] * literal)] if opaque[1].any() else []
-    copied = ~literal & (symbol < LITERALS + LENGTHS) if copies else None
-    back = _write_code(out, np.bincount(far[copied], minlength=DISTANCES) if copies else np.zeros(1, np.int64))
+    after += [] if opaque is None else [held(opaque.take(alpha))]
+    back = _write_code(out, np.bincount(far[~literal], minlength=DISTANCES) if copies else np.zeros(1, np.int64))
     if copies:
-        fields[1:1] = [(extra[0], extra[1])]
-        fields += [(back[0][far] * copied, back[1][far] * copied), (extra[2], extra[3])]
-    out.put_all(*(np.stack([f[k] for f in fields], axis=1).ravel() for k in (0, 1)))
+        fields += [extra[0], *after] + ([] if back is None else [back.take(far) * ~literal]) + [extra[1]]
+    else:
+        fields += after
+    if fields:
+        out.put_all(np.stack(fields, axis=1).ravel())
 
 
 def _predicted(samples: np.ndarray) -> tuple[np.ndarray, int]:
@@ -837,8 +862,8 @@ def _joined(samples: np.ndarray) -> np.ndarray:
     return a << 24 | r << 16 | g << 8 | b
 
 
-def encode_image(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of (rows, columns, 3) samples of red, green and blue, opaque."""
+def _written(samples: np.ndarray) -> BitWriter:
+    """The bits of an image of (rows, columns, 3) samples of red, green and blue, opaque."""
     rows, cols = samples.shape[:2]
     out = BitWriter()
     out.put(cols - 1, 14)
@@ -870,15 +895,30 @@ def encode_image(samples: np.ndarray) -> bytes:
             argb = _joined(rest)
     out.put(0, 1)  # no more transforms
     _write_pixels(out, argb, width, True)
-    chunk = b"\x2f" + out.bytes()
+    return out
+
+
+def _file(body: bytes) -> bytes:
+    chunk = b"\x2f" + body
     pad = b"\0" * (len(chunk) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(chunk) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + pad
 
 
+def store_all(payloads: list[bytes]) -> list[list[bytes]]:
+    """Payloads, their lengths positive multiples of 192, each as lossless WebP files."""
+    counts, writers = [], []
+    for p in payloads:
+        flat = np.frombuffer(p, np.uint8).reshape(-1, WIDTH, 3)
+        parts = [_written(flat[at : at + MAX_ROWS]) for at in range(0, len(flat), MAX_ROWS)]
+        counts.append(len(parts))
+        writers += parts
+    bodies = iter(_packed(writers)) if writers else iter(())
+    return [[_file(next(bodies)) for _ in range(n)] for n in counts]
+
+
 def store(payload: bytes) -> bytes:
-    """A payload, its length a positive multiple of 192, as lossless WebP."""
-    flat = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(encode_image(flat[at : at + MAX_ROWS]) for at in range(0, len(flat), MAX_ROWS))
+    """A payload as lossless WebP, its files one after the other."""
+    return b"".join(store_all([payload])[0])
 
 
 def padded(text: str | None) -> bytes:
@@ -889,17 +929,22 @@ def padded(text: str | None) -> bytes:
 
 def features(pixels: np.ndarray) -> str:
     """Size, the channels' means and deviations, and an 8 by 8 average hash of an RGB image."""
-    flat = pixels.reshape(-1, 3)
-    mean, spread = flat.mean(axis=0), flat.std(axis=0)
-    rows = np.linspace(0, len(pixels), 9).astype(int)
-    grey = pixels.sum(axis=2, dtype=np.int64)
-    cells = np.stack([grey[a : max(b, a + 1)].reshape(-1, 8, pixels.shape[1] // 8).mean(axis=(0, 2)) if a < len(grey) else np.zeros(8) for a, b in zip(rows[:-1], rows[1:], strict=True)])
+    rows, cols = pixels.shape[:2]
+    wide = pixels.astype(np.int64)
+    flat = wide.reshape(-1, 3)
+    mean = flat.sum(axis=0) / len(flat)
+    spread = np.sqrt(np.maximum((flat * flat).sum(axis=0) / len(flat) - mean * mean, 0))
+    at = np.arange(9) * rows // 8
+    ends = np.maximum(at[1:], at[:-1] + 1)
+    sums = np.zeros((rows + 1, 8), np.int64)
+    np.cumsum(wide.sum(axis=2).reshape(rows, 8, cols // 8).sum(axis=2), axis=0, out=sums[1:])
+    cells = (sums[ends] - sums[at[:-1]]) / (ends - at[:-1])[:, None]
     bits = np.packbits((cells > cells.mean()).ravel()).tobytes().hex()
-    numbers = ",".join(f"{v:.4f}" for v in (*mean, *spread))
-    return f"{pixels.shape[1]}x{pixels.shape[0]};{numbers};{bits}"
+    numbers = ",".join(f"{v:.4f}" for v in (*mean.tolist(), *spread.tolist()))
+    return f"{cols}x{rows};{numbers};{bits}"
 
 
-def media_columns(df: DataFrame, text: str = "text", rows: int = 1024) -> DataFrame:
+def media_columns(df: DataFrame, text: str = "text", rows: int = 2048) -> DataFrame:
     """``df`` without ``text``, with ``media``, ``width``, ``height``, ``pixels`` and ``feature``.
 
     ``media`` is the stored form of the padded text, ``pixels`` the red, green and blue samples
@@ -912,8 +957,8 @@ def media_columns(df: DataFrame, text: str = "text", rows: int = 1024) -> DataFr
         for whole in batches:
             for at in range(0, len(whole), rows):
                 batch = whole.slice(at, rows)
-                media = [store(padded(t.as_py())) for t in batch.column(text)]
-                files = [files_of(m) for m in media]
+                files = store_all([padded(t.as_py()) for t in batch.column(text)])
+                media = [b"".join(some) for some in files]
                 read = iter(decode_files([f for some in files for f in some]))
                 images = [np.concatenate([next(read) for _ in some])[..., 1:].astype(np.uint8) for some in files]
                 kept = [c for c in batch.schema.names if c != text and c not in fresh]
