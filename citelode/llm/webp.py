@@ -95,13 +95,11 @@ class PrefixCode:
         self._items: list[int] | None = None
 
     @classmethod
-    def of(cls, lengths: list[int]) -> PrefixCode:
-        """The code whose symbols have these lengths; one symbol alone takes no bits."""
-        n = np.array(lengths, np.int64)
-        used = np.flatnonzero(n)
-        if len(used) < 2:
-            return cls(0, np.array([int(used[0]) << 4 if len(used) else 0], np.int64))
-        n = n[used]
+    def of(cls, symbols: list[int], lengths: list[int]) -> PrefixCode:
+        """The code in which these symbols, in order, have these lengths; one symbol alone takes no bits."""
+        if len(symbols) < 2:
+            return cls(0, np.array([symbols[0] << 4 if symbols else 0], np.int64))
+        used, n = np.array(symbols, np.int64), np.array(lengths, np.int64)
         by = np.argsort(n, kind="stable")
         used, n = used[by], n[by]
         width = int(n[-1])
@@ -128,7 +126,7 @@ def _length_table(own: tuple[int, ...]) -> list[int]:
     if own not in _LENGTH_CODES:
         if len(_LENGTH_CODES) > 256:
             _LENGTH_CODES.clear()
-        code = PrefixCode.of(list(own))
+        code = PrefixCode.of([s for s, n in enumerate(own) if n], [n for n in own if n])
         _LENGTH_CODES[own] = np.tile(code.table, 1 << (7 - code.width)).tolist()
     return _LENGTH_CODES[own]
 
@@ -146,34 +144,41 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, lengths, previous = _length_table(tuple(own)), [], 8
+    table, at, previous = _length_table(tuple(own)), 0, 8
+    symbols, lengths = [], []
     data, place, end = bits.data, bits.at, bits.end
-    while len(lengths) < alphabet and left:
+    while at < alphabet and left:
         left -= 1
         lo = place >> 3
         word = (data[lo] | data[lo + 1] << 8 | data[lo + 2] << 16) >> (place & 7)
         entry = table[word & 127]
         s, n = entry >> 4, entry & 15
-        word >>= n
-        if s < 16:
+        if s == 0:
+            at += 1
+        elif s < 16:
+            symbols.append(at)
             lengths.append(s)
-            previous = s or previous
-        elif s == 16:
-            lengths += [previous] * (3 + (word & 3))
-            n += 2
+            previous = s
+            at += 1
         elif s == 17:
-            lengths += [0] * (3 + (word & 7))
+            at += 3 + (word >> n & 7)
             n += 3
-        else:
-            lengths += [0] * (11 + (word & 127))
+        elif s == 18:
+            at += 11 + (word >> n & 127)
             n += 7
+        else:
+            times = 3 + (word >> n & 3)
+            symbols += range(at, at + times)
+            lengths += [previous] * times
+            at += times
+            n += 2
         place += n
         if place > end:
             raise WebpError("the stream ends early")
-    if len(lengths) > alphabet:
+    if at > alphabet:
         raise WebpError("code lengths run past their alphabet")
     bits.at = place
-    return PrefixCode.of(lengths)
+    return PrefixCode.of(symbols, lengths)
 
 
 def _number(bits: Bits, prefix: int) -> int:
