@@ -1,8 +1,8 @@
 """Entity resolution of discovered documents.
 
 ``resolve`` reproduces the order-dependent, five-step matcher exactly: a fold over each run's
-discoveries in arrival order. A run is bounded by its cap of unique documents, so one group is
-small, and runs are folded in parallel. ``resolve_relational`` is a different operator for one
+discoveries in arrival order. A run's rows are bounded by its caps on sources and sub-queries, which
+come before, so one group is small, and runs are folded in parallel. ``resolve_relational`` is a different operator for one
 corpus of any size: the same keys, each as a keep-first pass without a fold.
 """
 
