@@ -29,8 +29,8 @@ from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField,
 WIDTH = 64
 UNIT = WIDTH * 3
 MAX_ROWS = 32
-#: Images decoded together, and the largest of them in pixels that still go together.
-TOGETHER = 2048
+#: Pixels of the images that are written or read together, about.
+TOGETHER = 1_500_000
 
 # Fixed values of the format: the order of code length codes, and the (x, y) of short distances.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -530,12 +530,14 @@ class Image:
 
 def decode_files(files: list[bytes]) -> list[np.ndarray]:
     """The pixels of several lossless WebP files: (rows, columns, 4) of alpha, red, green, blue."""
-    out = []
-    for lo in range(0, len(files), TOGETHER):
-        images = [Image(f) for f in files[lo : lo + TOGETHER]]
-        plain = [i.stream for i in images if i.stream.meta is None]
-        read = iter(read_together(plain))
-        out += [i.undone(next(read) if i.stream.meta is None else i.stream.pixels()) for i in images]
+    out, images, pixels = [], [], 0
+    for k, f in enumerate(files, 1):
+        images.append(Image(f))
+        pixels += images[-1].stream.total
+        if pixels >= TOGETHER or k == len(files):
+            read = iter(read_together([i.stream for i in images if i.stream.meta is None]))
+            out += [i.undone(next(read) if i.stream.meta is None else i.stream.pixels()) for i in images]
+            images, pixels = [], 0
     return out
 
 
@@ -911,14 +913,19 @@ def _file(body: bytes) -> bytes:
 
 def store_all(payloads: list[bytes]) -> list[list[bytes]]:
     """Payloads, their lengths positive multiples of 192, each as lossless WebP files."""
-    counts, writers = [], []
+    counts, writers, bodies, size = [], [], [], 0
     for p in payloads:
         flat = np.frombuffer(p, np.uint8).reshape(-1, WIDTH, 3)
-        parts = [_written(flat[at : at + MAX_ROWS]) for at in range(0, len(flat), MAX_ROWS)]
-        counts.append(len(parts))
-        writers += parts
-    bodies = iter(_packed(writers)) if writers else iter(())
-    return [[_file(next(bodies)) for _ in range(n)] for n in counts]
+        counts.append(-(-len(flat) // MAX_ROWS))
+        for at in range(0, len(flat), MAX_ROWS):
+            writers.append(_written(flat[at : at + MAX_ROWS]))
+            size += len(flat[at : at + MAX_ROWS]) * WIDTH
+            if size >= TOGETHER:
+                bodies += _packed(writers)
+                writers, size = [], 0
+    bodies += _packed(writers) if writers else []
+    files = iter(bodies)
+    return [[_file(next(files)) for _ in range(n)] for n in counts]
 
 
 def store(payload: bytes) -> bytes:
