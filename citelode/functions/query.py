@@ -9,10 +9,11 @@ from citelode.functions.text import has_searchable_token, trimmed
 
 # Words that say nothing in a query.
 STOPWORDS = (
-    "please find all the a an to for of and or in on with about relating related documents document pdfs pdf books book papers paper "
-    "texts text be how can you me my i are is scholarly academic articles article any some that which this these those etc every "
-    "kind kinds at by it as we he do if so up am"
-).split()
+    "please", "find", "all", "the", "a", "an", "to", "for", "of", "and", "or", "in", "on", "with", "about", "relating", "related", "documents",
+    "document", "pdfs", "pdf", "books", "book", "papers", "paper", "texts", "text", "be", "how", "can", "you", "me", "my", "i", "are", "is",
+    "scholarly", "academic", "articles", "article", "any", "some", "that", "which", "this", "these", "those", "etc", "every", "kind", "kinds", "at",
+    "by", "it", "as", "we", "he", "do", "if", "so", "up", "am",
+)
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'-]+"
 SPLIT = r"(?i)[,;]|(?U)\s+and\s+|(?U)\s+&\s+"
 MAX_SUBQUERIES, MAX_TOPICS, MAX_EXPANSIONS = 8, 16, 48

@@ -106,3 +106,35 @@ def test_stream_equals_batch_breaker(spark, tmp_path):
     df = spark.createDataFrame([(f"e{i % 2}", i, i * 40.0, kinds[i // 2 % 5]) for i in range(40)], "backend string, seq long, ts double, outcome string")
     out = run_stream(spark, df.withColumn("seq_", df.seq), folds.breaker_stream, tmp_path)
     assert sorted(map(tuple, out)) == sorted(map(tuple, events.circuit_breaker(df).collect()))
+
+
+def test_stream_windows_and_log(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    samples = spark.createDataFrame([(1, start + timedelta(milliseconds=100 * i), 60_000) for i in range(60)], "run_id long, ts timestamp, bytes long")
+    folder = str(tmp_path / "samples")
+    samples.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(samples.schema).parquet(folder)
+    q = folds.throughput_stream(stream, "0 seconds").writeStream.format("memory").queryName("speed").option("checkpointLocation", str(tmp_path / "c1")).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    speed = [r.mbps for r in spark.table("speed").collect()]
+    assert len(speed) >= 10 and max(speed) == pytest.approx(0.6) and sum(speed) * 0.6 == pytest.approx(3.6)
+
+    results = spark.createDataFrame([(f"https://a/{i % 4}{'/' if i % 2 else ''}", start) for i in range(20)], "url string, ts timestamp")
+    results.coalesce(1).write.parquet(str(tmp_path / "results"))
+    q = folds.unique_urls_stream(spark.readStream.schema(results.schema).parquet(str(tmp_path / "results"))).writeStream.format("memory").queryName("urls").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.url_key for r in spark.table("urls").collect()) == [f"https://a/{i}" for i in range(4)]
+
+    folds.append_log(spark.readStream.schema(results.schema).parquet(str(tmp_path / "results")), str(tmp_path / "log"), str(tmp_path / "c3")).awaitTermination(120)
+    folds.append_log(spark.readStream.schema(results.schema).parquet(str(tmp_path / "results")), str(tmp_path / "log"), str(tmp_path / "c3")).awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "log")).count() == 20
+
+
+def test_texts_are_written_by_stem(spark, tmp_path):
+    from citelode.operators import library
+
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "stem string, text string")
+    library.write_texts(df, str(tmp_path / "_text"))
+    assert [(r.stem, r.text) for r in spark.read.parquet(str(tmp_path / "_text")).collect()] == [("a", "x")]
