@@ -330,7 +330,14 @@ def q_dedup_exact(spark, sf_dir):
     return out.select("run_id", "insert_idx", "url", F.size("source_ranks").alias("n_ranks"))
 
 
-@register()
+@register(f"""WITH d AS (SELECT doc_id // 200 AS run_id, doc_id AS arrival_seq, coalesce(string_split(text, chr(10))[1], '') AS title, {_DOI_URL_SQL} AS u, doc_id FROM documents),
+k AS (SELECT run_id, arrival_seq, CASE WHEN doc_id % 3 = 0 THEN u ELSE 'https://a.example/' || doc_id % 500 END AS url, CASE WHEN doc_id % 3 = 0 THEN {_DOI_SQL} END AS doi, {_NORM_SQL.format('title')} AS norm,
+  'doe' || doc_id % 7 || '|' || (2000 + doc_id % 5) || '|' || nullif(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(title, '[^\\pL\\pN]+'), lambda t: t <> ''), 1, 3), ' ')), '') AS fp FROM d),
+a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY arrival_seq) = 1),
+b AS (SELECT * FROM a QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY run_id, doi ORDER BY arrival_seq) = 1),
+c AS (SELECT * FROM b QUALIFY norm IN ('', 'untitled') OR len(string_split(norm, ' ')) < 5 OR row_number() OVER (PARTITION BY run_id, norm ORDER BY arrival_seq) = 1),
+e AS (SELECT *, first_value(norm) OVER w AS anchor, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY run_id, fp ORDER BY arrival_seq))
+SELECT run_id, arrival_seq, url FROM e WHERE fp IS NULL OR n = 1 OR norm = '' OR NOT (starts_with(norm, anchor) OR starts_with(anchor, norm))""")
 def q_dedup_relational(spark, sf_dir):
     """The keep-first passes over the same rows."""
     return dedup.resolve_relational(_discoveries(spark, sf_dir)).select("run_id", "arrival_seq", "url")
