@@ -44,9 +44,11 @@ SPARE, SPARE_LEAST = 0.7, 8
 PACK = 500_000
 #: Sets of one fragment that meet as pairs, over all and within one task; more are tied to the first.
 SMALL, SMALL_HERE = 16, 8
+#: Rows whose sets a task holds at once.
+ROWS = 500
 #: Vertical fragments that pairs are counted in, and pairs of one bucket on average.
 PARTS = 8
-PAIRS = 50_000
+PAIRS = 10_000
 #: An n-gram is common when this share of the documents or more hold it; only so many of the most
 #: common are told apart. Both change which fragments come first, never which pairs link.
 COMMON, COMMON_LEAST, COMMON_MOST = 1 / 256, 8, 100_000
@@ -313,12 +315,18 @@ def _candidates(texts: DataFrame, entries: int, n: int, percent: int, common: np
     return tied.groupBy("a", "b").agg(F.max("hot").alias("hot"))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """``cls, grams`` of every class in ``pairs``, read from its first document's text."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(first, "cls")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [shingles(t.as_py(), n) for t in batch.column("text")]
             right = pa.array([set_class(s) == c for s, c in zip(found, batch.column("cls").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "grams"]).filter(right)
@@ -336,7 +344,7 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int, number: int) -> Da
     where = dealt.select(F.explode(F.array("a", "b")).alias("cls"), "bucket").groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             out = []
             for cls, raw, buckets_ in zip(batch.column("cls").to_pylist(), batch.column("grams"), batch.column("buckets").to_pylist(), strict=True):
                 grams = np.frombuffer(raw.as_buffer(), np.uint64)
