@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import html_text, lang_id, license_scan, line_dedup, ngram_join, packing, sentence_pieces, substring_dedup, vector_search, webp
+from citelode.llm import chat_format, erasure, html_text, lang_id, license_scan, line_dedup, ngram_join, packing, sentence_pieces, substring_dedup, turn_repair, vector_search, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,9 +92,49 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+#: Both turns of conversation -7 say this.
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def op11_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply of all conversations, and of one made of control strings, as an example, read back."""
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_format.digest(chat_format.examples(rows))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in about every fourth row, by a checksum; ``present`` is false where the row is gone."""
+    blank = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    how = F.crc32(F.concat(blank[0], F.lit(":"), blank[1])) % 20
+    rows = rows.select("conv_id", "turn", blank[2].alias("role"), blank[3].alias("text"), how.alias("how"))
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("how") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("how") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("how") != 0).alias("present"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all damaged conversations, their cheapest repair and what it leaves, as a digest."""
+    return turn_repair.report(damaged(_table(spark, sf_dir, "conversations")), "present")
+
+
+def op13_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the shop's tables after the victims are erased from them."""
+    return erasure.erase_clients(*(_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")))
+
+
+_ALL = (
+    op1_line_dedup, op2_html_extraction, op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing,
+    op8_webp_columns, op9_substring_dedup, op10_license_scan, op11_prefix_targets, op12_turn_repair, op13_cascading_erasure,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_language_id, op4_ngram_jaccard, op5_sentence_pieces, op6_vantage_search, op7_best_fit_packing, op8_webp_columns, op9_substring_dedup, op10_license_scan)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op10_license_scan": license_scan.sql(), "op6_vantage_search": OP6_SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op10_license_scan": license_scan.sql(), "op6_vantage_search": OP6_SQL, "op11_prefix_targets": chat_format.SQL}
