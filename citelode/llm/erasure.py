@@ -205,8 +205,9 @@ def erase_clients(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_
     def checksum(column: str) -> Column:
         return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
-    # hot sales: Spark splits skewed partitions of the lines in this join
     owner = sales.where("sale_id is not null").groupBy(F.col("sale_id").alias("__sale")).agg(F.min("client_id").alias("__client"))
+    # written first: Spark splits a hot sale's lines only where both sides of a join are exchanged as they are
+    owner = stage(owner, "erasure-owners")
     lines = sale_lines.join(owner, F.col("sale_id") == F.col("__sale"), "left")
     laid = {
         "clients": layout(clients, f"{folder}/clients", checksum("client_id")),
@@ -214,6 +215,7 @@ def erase_clients(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_
         "sales": layout(sales, f"{folder}/sales", checksum("client_id")),
         "sale_lines": layout(lines, f"{folder}/sale_lines", checksum("__client"), sale_lines.columns),
     }
+    discard(owner)
     masters = stage(victim_masters(clients, clicks), "erasure-masters", clean=False)
     people = clients.join(masters, "master_id", "left_semi").where("client_id is not null").select("client_id").distinct()
     people = stage(people, "erasure-clients", clean=False)
