@@ -151,7 +151,16 @@ def slug(title: Column, url: Column) -> Column:
 
 
 def truncated(x: Column, limit: int = 64 * 1024 * 1024) -> Column:
-    """The text cut to ``limit`` bytes at most, never inside a character."""
-    return F.when(F.octet_length(x) <= limit, x).otherwise(F.substring(x, 1, limit // 4))
-
-
+    """The longest prefix of at most ``limit`` bytes of UTF-8 that cuts no character."""
+    raw = x.cast("binary")
+
+    def inside(at: int) -> Column:
+        """Whether the byte there, counted from 1, goes on a character."""
+        return F.hex(F.substring(raw, at, 1)).between("80", "BF")
+
+    # a character has at most four bytes: the first byte left out is its first, or up to three back
+    cut = F.lit(max(0, limit - 3))
+    for back in (2, 1, 0):
+        if limit >= back:
+            cut = F.when(~inside(limit + 1 - back), F.lit(limit - back)).otherwise(cut)
+    return F.when(F.octet_length(x) <= limit, x).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))

@@ -1,21 +1,21 @@
 """Entity resolution of discovered documents.
 
 ``resolve`` reproduces the order-dependent, five-step matcher exactly: a fold over each run's
-discoveries in arrival order. A run's rows are bounded by its caps on sources and sub-queries, which
-come before, so one group is small, and runs are folded in parallel. ``resolve_relational`` is a different operator for one
-corpus of any size: the same keys, each as a keep-first pass without a fold.
+discoveries in arrival order. A run's rows are bounded by its caps on sources and sub-queries,
+which come before, so a fold's state is small, and runs are folded in parallel;
+``matching.resolve_large`` is the same for runs of any size. ``resolve_relational`` is a different
+operator for one corpus: the same keys, each as a keep-first pass without a fold.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelode.functions.text import author_year_fingerprint, first_author_surname, is_sentinel_title, normalize_title
 from citelode.functions.urls import extract_doi, url_key
-from citelode.operators.schemas import DOCUMENT_FIELDS, MERGED
+from citelode.operators.scan import scan
+from citelode.operators.schemas import DOCUMENT_FIELDS
 
 SHORT_TITLE = 5
 MAX_TOTAL = 500
@@ -37,7 +37,6 @@ class Matcher:
 
     def __init__(self) -> None:
         self.kept: list[dict] = []
-        self.ranks: list[list[tuple[str, int]]] = []
         self.at: dict[str, dict[str, int]] = {"url": {}, "doi": {}, "norm": {}, "fingerprint": {}}
 
     def _find(self, row: dict) -> tuple[int, bool] | None:
@@ -58,23 +57,21 @@ class Matcher:
                 return i, True
         return None
 
-    def add(self, row: dict, source: str, rank: int) -> int | None:
-        """Takes a row in; the number of a new document, None where it joined another."""
+    def add(self, row: dict) -> tuple[int, bool]:
+        """Takes a row in; its document's number, and whether that is new."""
         if found := self._find(row):
             i, learns_doi = found
-            self.ranks[i].append((source, rank))
             self.at["url"].setdefault(row["url"], i)
             if learns_doi and row["doi"] is not None:
                 self.at["doi"][row["doi"]] = i
-            return None
+            return i, False
         i = len(self.kept)
         self.kept.append(row)
-        self.ranks.append([(source, rank)])
         self.at["url"][row["url"]] = i
         for key in ("doi", "norm", "fingerprint"):
             if row[key] is not None and not (key == "norm" and row[key] in ("", "untitled")):
                 self.at[key].setdefault(row[key], i)
-        return i
+        return i, True
 
 
 _KEYS = ("url", "doi", "norm", "surname", "fingerprint", "year")
@@ -83,26 +80,23 @@ _KEYS = ("url", "doi", "norm", "surname", "fingerprint", "year")
 def resolve(discoveries: DataFrame, max_total: int = MAX_TOTAL) -> DataFrame:
     """Merged documents of each run: ``run_id, insert_idx``, the first copy's fields, ``source_ranks``.
 
-    Rows are taken in ``arrival_seq``. Once a run has ``max_total`` documents, what arrives later
-    counts for nothing, copies included.
+    Rows are taken in ``arrival_seq``, distinct within a run. Once a run has ``max_total``
+    documents, what arrives later counts for nothing, copies included. Only keys go through the
+    fold; fields are joined back to the rows that became documents.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("arrival_seq", kind="stable")
-        rows = rows.astype(object).where(rows.notna(), None) if len(rows) else rows
-        matcher, first = Matcher(), []
-        for at, row in enumerate(rows.to_dict("records")):
-            if len(matcher.kept) >= max_total:
-                break
-            if matcher.add({k: row[k] for k in _KEYS}, row["source_id"], int(row["rank_in_source"])) is not None:
-                first.append(at)
-        out = rows.iloc[first][["run_id", *DOCUMENT_FIELDS]].reset_index(drop=True)
-        out.insert(1, "insert_idx", range(len(out)))
-        out["run_id"] = out["run_id"].astype("int64")
-        out["source_ranks"] = [[{"source": s, "rank": r} for s, r in ranks] for ranks in matcher.ranks]
-        return out
+    def step(matcher: Matcher, *values) -> tuple[Matcher, tuple[int | None, bool | None]]:
+        if len(matcher.kept) >= max_total:
+            return matcher, (None, None)
+        return matcher, matcher.add(dict(zip(_KEYS, values, strict=True)))
 
-    return with_keys(discoveries).groupBy("run_id").applyInPandas(fold, MERGED)
+    keys = with_keys(discoveries).select("run_id", "arrival_seq", "source_id", "rank_in_source", *_KEYS)
+    rows = scan(keys, ["run_id"], ["arrival_seq"], list(_KEYS), "insert_idx int, new boolean", Matcher, step).where("insert_idx is not null")
+    rank = F.struct("arrival_seq", F.col("source_id").alias("source"), F.col("rank_in_source").alias("rank"))
+    merged = rows.groupBy("run_id", "insert_idx").agg(F.max(F.when(F.col("new"), F.col("arrival_seq"))).alias("__first"), F.array_sort(F.collect_list(rank)).alias("__ranks"))
+    merged = merged.select(F.col("run_id").alias("__run"), "insert_idx", "__first", F.transform("__ranks", lambda r: F.struct(r["source"].alias("source"), r["rank"].alias("rank"))).alias("source_ranks"))
+    out = discoveries.join(merged, discoveries.run_id.eqNullSafe(F.col("__run")) & (F.col("arrival_seq") == F.col("__first")))
+    return out.select("run_id", "insert_idx", *DOCUMENT_FIELDS, "source_ranks")
 
 
 def resolve_relational(discoveries: DataFrame, key: str = "arrival_seq") -> DataFrame:
@@ -140,5 +134,3 @@ def dedup_by_url_key(df: DataFrame, url: str, order: str, partition: list[str] |
 def dedup_first(df: DataFrame, keys: list, order: str) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__first = 1").drop("__first")
-
-

@@ -28,6 +28,8 @@ class RunRequest:
 
 #: Search widths: results of each source, of a run, and downloads at once.
 INTENSITY = {"light": (25, 75, 4), "balanced": (100, 500, 8), "deep": (250, 1500, 12), "exhaustive": (500, 4000, 16)}
+# Sources that are only asked two things at a time.
+GENTLE = ("meta_search", "searxng", "web", "semantic_scholar", "zenodo")
 #: Stages that a quality setting turns on: semantic reranking, expansion and filtering by a model.
 QUALITY = {"fast": (False, False, False), "balanced": (True, True, False), "thorough": (True, True, True)}
 
@@ -105,6 +107,46 @@ def acceptable_instances(df: DataFrame) -> DataFrame:
     return df.where(ok & (F.col("version").isNull() | (major >= 1)))
 
 
+def choose_instances(instances: DataFrame, asked: DataFrame, health: DataFrame | None = None) -> DataFrame:
+    """Which search instances each of ``asked`` (``run_id, seed``) goes to: ``run_id, turn, url``.
+
+    A local instance (``local``) comes first, as turn 0; then two different ones of the rest, by
+    the seed: instances stand in the order of their address, the first is the seed's remainder,
+    the second so far on as its higher bits say. ``health`` (``url, open``) leaves out those whose
+    breaker is open. With one instance there is no second; with none there are no rows.
+    """
+    rows = instances.select("url", F.coalesce("local", F.lit(False)).alias("local")).distinct()
+    if health is not None:
+        rows = rows.join(health.where("open").select("url").distinct(), "url", "left_anti")
+    # instances are a public list of some hundreds; a run needs three of them by their number
+    ranked = rows.where("not local").select("url", (F.row_number().over(Window.orderBy("url")) - 1).alias("at"))
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    seeds = asked.select("run_id", F.col("seed").cast("long").alias("seed")).crossJoin(F.broadcast(n)).where("n > 0")
+    first = F.expr("pmod(seed, n)")
+    second = F.expr("pmod(pmod(seed, n) + 1 + pmod(shiftright(seed, 8), n - 1), n)")
+    picks = seeds.select("run_id", F.posexplode(F.when(F.col("n") > 1, F.array(first, second)).otherwise(F.array(first))).alias("turn", "at"))
+    public = picks.join(F.broadcast(ranked), "at").select("run_id", (F.col("turn") + 1).alias("turn"), "url")
+    local = asked.select("run_id").crossJoin(F.broadcast(rows.where("local").agg(F.min("url").alias("url")).where("url is not null")))
+    return local.select("run_id", F.lit(0).alias("turn"), "url").unionByName(public)
+
+
+def source_concurrency(source: Column) -> Column:
+    """Requests that may be under way at a source at once."""
+    return F.when(source.isin(*GENTLE), 2).otherwise(4)
+
+
+def search_answer(results: DataFrame, query: Column, page: Column) -> DataFrame:
+    """Answers of the search interface: ``status, number_of_results`` and the results, as it gives them.
+
+    ``results`` has ``request`` and the scored results of it as an array ``results``. A blank query
+    is a bad request (400) without results; pages past the first are empty.
+    """
+    blank = ~F.coalesce(query, F.lit("")).rlike(r"(?U)\S")
+    empty = F.slice("results", 1, 0)
+    out = results.withColumn("status", F.when(blank, 400).otherwise(200)).withColumn("results", F.when(blank | (page > 1), empty).otherwise(F.coalesce("results", empty)))
+    return out.withColumn("number_of_results", F.size("results"))
+
+
 def instance_scores(results: DataFrame) -> DataFrame:
     """Results as the search interface gives them: score one over rank, engine the source."""
     return results.select(F.col("title"), F.col("url"), F.col("source").alias("engine"), (1.0 / F.col("rank_in_source")).alias("score"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelode.functions.display import base_source_id, ftype_from_path, lane_key
+from citelode.operators.scan import scan
 
 OPEN_AFTER, OPEN_FOR = 3, 300.0
 TICK, SAMPLES = 0.6, 32
@@ -89,19 +89,14 @@ def throttle(progress: DataFrame, gap_ms: int = 200) -> DataFrame:
     """Reports at least ``gap_ms`` after the last one of the same file that was let through, and all final ones.
 
     A file's first report passes, and a final one counts as let through. ``progress`` has
-    ``run_id, url, seq, ms, status``. One file's reports are a bounded list, folded in the JVM.
+    ``run_id, url, seq, ms, status``. A file's reports stream through in order.
     """
-    report = F.struct("seq", "ms", (F.col("status") != "progress").alias("final"))
-    files = progress.groupBy("run_id", "url").agg(F.array_sort(F.collect_list(report)).alias("__reports"))
 
-    def step(state: Column, r: Column) -> Column:
-        goes = r["final"] | state["last"].isNull() | (r["ms"] - state["last"] >= gap_ms)
-        return F.struct(F.when(goes, r["ms"]).otherwise(state["last"]).alias("last"), F.when(goes, F.concat(state["seqs"], F.array(r["seq"]))).otherwise(state["seqs"]).alias("seqs"))
+    def step(last: int | None, ms: int, status: str) -> tuple[int | None, tuple[bool]]:
+        goes = status != "progress" or last is None or ms - last >= gap_ms
+        return (ms if goes else last), (goes,)
 
-    kinds = dict(progress.dtypes)
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kinds['seq']}>").alias("seqs"))
-    kept = F.aggregate("__reports", none, step, lambda state: state["seqs"])
-    return progress.join(files.select("run_id", "url", F.explode(kept).alias("seq")), ["run_id", "url", "seq"], "left_semi")
+    return scan(progress, ["run_id", "url"], ["seq"], ["ms", "status"], "__goes boolean", lambda: None, step).where("__goes").drop("__goes")
 
 
 def throughput(samples: DataFrame) -> DataFrame:
@@ -134,23 +129,48 @@ def breaker_step(failures: int, until: float, ts: float, outcome: str) -> tuple[
     return failures, until, False
 
 
-def circuit_breaker(calls: DataFrame) -> DataFrame:
+#: Calls of an engine, by ``seq``, that one window looks at.
+STRETCH = 100_000
+
+
+def _segments(calls: DataFrame, width: int) -> DataFrame:
+    """``calls`` with ``__segment``: an engine's calls, cut where its breaker is surely closed and reset.
+
+    That is at a success more than 300 s after all failures before it: it can't have been
+    skipped. Failures are looked up within stretches of ``seq`` and by one row for each stretch
+    before, so an engine with very many calls is no single window.
+    """
+    rows = calls.withColumn("__stretch", F.floor(F.col("seq") / width).cast("long"))
+    within = Window.partitionBy("backend", "__stretch").orderBy("seq")
+    failed = F.when(F.col("outcome") == "failure", F.col("ts"))
+    earlier = Window.partitionBy("backend").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    known = rows.groupBy("backend", "__stretch").agg(F.max(failed).alias("__f")).select("backend", "__stretch", F.max("__f").over(earlier).alias("__before"))
+    rows = rows.join(known, ["backend", "__stretch"])
+    last = F.greatest("__before", F.max(failed).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    sure = (F.col("outcome") == "success") & (last.isNull() | (F.col("ts") - last >= OPEN_FOR))
+    # a segment is named by the call that begins it
+    rows = rows.withColumn("__begins", F.when(sure, F.col("seq")))
+    known = rows.groupBy("backend", "__stretch").agg(F.max("__begins").alias("__b")).select("backend", "__stretch", F.max("__b").over(earlier).alias("__begun"))
+    begins = F.max("__begins").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__begins", begins).join(known, ["backend", "__stretch"]).withColumn("__segment", F.coalesce("__begins", "__begun"))
+
+
+def circuit_breaker(calls: DataFrame, width: int = STRETCH) -> DataFrame:
     """Each engine's calls in order with the breaker's state after them: ``failures, open, skipped``.
 
     Three failures in a row open it for 300 s, in which calls are skipped and change nothing;
-    neutral outcomes don't count. ``calls`` has ``backend, seq, ts`` (seconds) and ``outcome``.
-    An engine's calls are a state machine and one group; engines run in parallel.
+    neutral outcomes don't count. ``calls`` has ``backend, seq, ts`` (seconds) and ``outcome``,
+    ``seq`` distinct within an engine. An engine's calls are cut into segments that begin with a
+    closed breaker and are folded apart, each streaming through in order.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        failures, until, out = 0, 0.0, []
-        for ts, outcome in zip(rows["ts"], rows["outcome"], strict=True):
-            failures, until, skipped = breaker_step(failures, until, ts, outcome)
-            out.append((failures, ts < until, skipped))
-        return rows[["backend", "seq"]].assign(failures=[o[0] for o in out], open=[o[1] for o in out], skipped=[o[2] for o in out])
+    def step(state: tuple[int, float], ts: float, outcome: str) -> tuple[tuple[int, float], tuple]:
+        failures, until, skipped = breaker_step(*state, ts, outcome)
+        return (failures, until), (failures, ts < until, skipped)
 
-    return calls.select("backend", "seq", "ts", "outcome").groupBy("backend").applyInPandas(fold, "backend string, seq long, failures long, open boolean, skipped boolean")
+    rows = _segments(calls.select("backend", "seq", "ts", "outcome"), width).select("backend", F.col("seq").cast("long").alias("seq"), "__segment", "ts", "outcome")
+    out = scan(rows, ["backend", "__segment"], ["seq"], ["ts", "outcome"], "failures long, open boolean, skipped boolean", lambda: (0, 0.0), step)
+    return out.select("backend", "seq", "failures", "open", "skipped")
 
 
 def call_outcome(count: Column, timed_out: Column, rate_limited: Column, error: Column) -> tuple[Column, Column]:

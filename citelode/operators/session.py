@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelode.functions.display import SOURCES, base_source_id
+from citelode.operators.scan import scan
 
 # Defaults of settings, and sources that the bulk toggles leave alone.
 DEFAULTS = {"per_source": 100, "max_total": 500, "concurrency": 8}
@@ -90,11 +91,25 @@ def capped(body: Column, most: int = MAX_BODY) -> Column:
 
 
 def cached(entries: DataFrame, asked: DataFrame, ttl: float, keys: list[str], value: str = "value") -> DataFrame:
-    """``asked`` (``keys, at``) with the latest entry (``keys, stored_at, value``) no older than ``ttl`` then; null where none is."""
-    number = asked.withColumn("__ask", F.monotonically_increasing_id())
-    fit = number.join(entries, keys).where((F.col("stored_at") <= F.col("at")) & (F.col("at") - F.col("stored_at") < ttl))
-    best = fit.groupBy("__ask").agg(F.max_by(value, "stored_at").alias(value))
-    return number.join(best, "__ask", "left").drop("__ask")
+    """``asked`` (``keys, at``) with the latest entry (``keys, stored_at, value``) no older than ``ttl`` then; null where none is.
+
+    An as-of join: both are one sequence for each key, in which every question sees the last
+    entry before it. What is asked can only hit an entry of its own stretch of ``ttl`` or of the
+    one before, so each entry stands in two stretches and a key with very many rows is dealt out
+    over them. Of entries stored at once the greatest value counts; a null key hits nothing.
+    """
+    stretch = lambda c: F.floor(F.col(c) / ttl)
+    entry = F.struct(F.col("stored_at").cast("double").alias("at"), F.col(value).alias("value"))
+    stored = entries.where("stored_at is not null").select(*keys, F.explode(F.array(stretch("stored_at"), stretch("stored_at") + 1)).alias("__stretch"), F.col("stored_at").cast("double").alias("__t"), F.lit(0).alias("__asks"), entry.alias("__entry"))
+    own = [c for c in asked.columns if c not in keys]
+    asks = asked.select(*keys, stretch("at").alias("__stretch"), F.col("at").cast("double").alias("__t"), F.lit(1).alias("__asks"), F.struct(*own).alias("__own"))
+    w = Window.partitionBy(*keys, "__stretch").orderBy("__t", "__asks", "__entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = stored.unionByName(asks, allowMissingColumns=True).withColumn("__last", F.last("__entry", ignorenulls=True).over(w)).where("__asks = 1")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    fresh = known & (F.col("__t") - F.col("__last.at") < ttl)
+    return seen.select(*[F.col(c) if c in keys else F.col("__own")[c].alias(c) for c in asked.columns], F.when(fresh, F.col("__last.value")).alias(value))
 
 
 def reduce_run(events: DataFrame) -> DataFrame:
@@ -138,28 +153,29 @@ def source_states(events: DataFrame, run_sources: Column) -> DataFrame:
 
     A source is querying while a task of it runs, then done, or in error if it gave an error and
     nothing else. The end of discovery (``found_total``) ends all that still query. Engines of the
-    aggregator count as it. A source's events are a bounded list, folded in the JVM.
+    aggregator count as it. A source's events stream through in order.
     """
     kinds = ("source_start", "source_done", "source_error", "found")
     own = F.when(F.col("type") == "found", base_source_id(F.col("source"), run_sources)).otherwise(F.col("source"))
     moves = events.where(F.col("type").isin(*kinds)).select("run_id", own.alias("source"), "seq", "type")
     over = events.where("type = 'found_total'").select("run_id", "seq", "type").join(moves.select("run_id", "source").distinct(), "run_id").select("run_id", "source", "seq", "type")
-    listed = moves.unionByName(over).groupBy("run_id", "source").agg(F.array_sort(F.collect_list(F.struct("seq", "type"))).alias("__events"))
-
-    def step(s: Column, e: Column) -> Column:
-        is_ = lambda t: e["type"] == t
-        active = F.when(is_("source_start"), s["active"] + 1).when(is_("source_done"), F.greatest(s["active"] - 1, F.lit(0))).when(is_("found_total"), 0).otherwise(s["active"])
-        hits = s["hits"] + F.when(is_("found"), 1).otherwise(0)
-        bad = s["status"] == "error"
-        status = (
-            F.when(is_("source_start"), "querying")
-            .when(is_("source_error"), "error")
-            .when(is_("found_total"), F.when(s["status"] == "querying", "done").otherwise(s["status"]))
-            .when(bad & (is_("found") | (active > 0) | (hits == 0)), "error")
-            .when(is_("found") | (active > 0), "querying")
-            .otherwise("done")
-        )
-        return F.struct(status.alias("status"), hits.cast("long").alias("hits"), active.cast("long").alias("active"))
-
-    none = F.struct(F.lit("idle").alias("status"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("active"))
-    return listed.select("run_id", "source", F.aggregate("__events", none, step).alias("s")).select("run_id", "source", "s.*")
+
+    def step(state: tuple[str, int, int], kind: str) -> tuple[tuple[str, int, int], tuple[str, int, int]]:
+        status, hits, active = state
+        bad = status == "error"
+        if kind == "source_start":
+            status, active = "querying", active + 1
+        elif kind == "source_error":
+            status = "error"
+        elif kind == "found_total":
+            status, active = "done" if status == "querying" else status, 0
+        else:
+            active = max(active - 1, 0) if kind == "source_done" else active
+            heard = kind == "found" or active > 0
+            status = "error" if bad and (heard or hits == 0) else "querying" if heard else "done"
+            hits += kind == "found"
+        return (status, hits, active), (status, hits, active)
+
+    rows = scan(moves.unionByName(over), ["run_id", "source"], ["seq", "type"], ["type"], "status string, hits long, active long", lambda: ("idle", 0, 0), step)
+    last = rows.groupBy("run_id", "source").agg(F.max(F.struct("seq", "type", "status", "hits", "active")).alias("s"))
+    return last.select("run_id", "source", "s.status", "s.hits", "s.active")

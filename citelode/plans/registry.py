@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelode.functions import content, display, query, text, urls
-from citelode.operators import dedup, discovery, events, library, rank, rerank
+from citelode.operators import dedup, discovery, events, library, matching, rank, rerank
 from citelode.plans import candidates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,13 +323,42 @@ def _discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register()
+def _fold_sql(run: str) -> str:
+    """The matcher as a recursion over each run's rows, its keys kept in maps."""
+    put = "CASE WHEN {on} AND NOT map_contains({m}, {k}) THEN map_concat({m}, MAP([{k}], [{v}])) ELSE {m} END"
+    return f"""WITH RECURSIVE d AS (SELECT {run} AS run_id, doc_id AS arrival_seq, coalesce(string_split(text, chr(10))[1], '') AS title, {_DOI_URL_SQL} AS u, doc_id FROM documents),
+k AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY arrival_seq) AS n, CASE WHEN doc_id % 3 = 0 THEN u ELSE 'https://a.example/' || doc_id % 500 END AS url, CASE WHEN doc_id % 3 = 0 THEN {_DOI_SQL} END AS doi, {_NORM_SQL.format('title')} AS norm,
+  'doe' || doc_id % 7 AS surname, CAST(2000 + doc_id % 5 AS VARCHAR) AS year,
+  'doe' || doc_id % 7 || '|' || (2000 + doc_id % 5) || '|' || nullif(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(title, '[^\\pL\\pN]+'), lambda t: t <> ''), 1, 3), ' ')), '') AS fp FROM d),
+s AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS idx, 0 AS total, CAST(NULL AS VARCHAR) AS first_url, CAST(MAP() AS MAP(VARCHAR, INTEGER)) AS mu, CAST(MAP() AS MAP(VARCHAR, INTEGER)) AS md,
+    CAST(MAP() AS MAP(VARCHAR, STRUCT(i INTEGER, y VARCHAR, s VARCHAR))) AS mt, CAST(MAP() AS MAP(VARCHAR, STRUCT(i INTEGER, m VARCHAR))) AS mf FROM k
+  UNION ALL SELECT run_id, n, i, total + CAST(hit IS NULL AS INTEGER), CASE WHEN hit IS NULL THEN url END, {put.format(on="true", m="mu", k="url", v="i")},
+    {put.format(on="doi IS NOT NULL AND by_key IS NULL", m="md", k="coalesce(doi, '')", v="i")},
+    {put.format(on="hit IS NULL AND norm NOT IN ('', 'untitled')", m="mt", k="norm", v="{'i': i, 'y': year, 's': surname}")},
+    {put.format(on="hit IS NULL AND fp IS NOT NULL", m="mf", k="coalesce(fp, '')", v="{'i': i, 'm': norm}")}
+  FROM (SELECT *, coalesce(by_key, by_title, by_mark) AS hit, coalesce(by_key, by_title, by_mark, total) AS i FROM (
+    SELECT s.* EXCLUDE (n, idx, first_url), k.* EXCLUDE (run_id), coalesce(map_extract(mu, url)[1], map_extract(md, doi)[1]) AS by_key,
+      CASE WHEN norm NOT IN ('', 'untitled') AND (len(string_split(norm, ' ')) >= 5 OR map_extract(mt, norm)[1].y = year OR map_extract(mt, norm)[1].s = surname) THEN map_extract(mt, norm)[1].i END AS by_title,
+      CASE WHEN norm <> '' AND map_extract(mf, fp)[1].m <> '' AND (starts_with(norm, map_extract(mf, fp)[1].m) OR starts_with(map_extract(mf, fp)[1].m, norm)) THEN map_extract(mf, fp)[1].i END AS by_mark
+    FROM s JOIN k ON k.run_id = s.run_id AND k.n = s.n + 1)))
+SELECT run_id, idx AS insert_idx, max(first_url) AS url, CAST(count(*) AS INTEGER) AS n_ranks FROM s WHERE n > 0 GROUP BY run_id, idx"""
+
+
+@register(_fold_sql("doc_id // 200"))
 def q_dedup_exact(spark, sf_dir):
     """The exact five-step matcher over runs of documents."""
     out = dedup.resolve(_discoveries(spark, sf_dir))
     return out.select("run_id", "insert_idx", "url", F.size("source_ranks").alias("n_ranks"))
 
 
+@register(_fold_sql("CAST(0 AS BIGINT)"))
+def q_dedup_components(spark, sf_dir):
+    """The same matcher over all documents as one run, by components of shared keys."""
+    rows = matching.matched(_discoveries(spark, sf_dir).withColumn("run_id", F.lit(0).cast("long")))
+    urls = _discoveries(spark, sf_dir).select(F.col("arrival_seq").alias("doc_seq"), "url")
+    return rows.groupBy("run_id", "insert_idx", "doc_seq").agg(F.count(F.lit(1)).cast("int").alias("n_ranks")).join(urls, "doc_seq").select("run_id", "insert_idx", "url", "n_ranks")
+
+
 @register(f"""WITH d AS (SELECT doc_id // 200 AS run_id, doc_id AS arrival_seq, coalesce(string_split(text, chr(10))[1], '') AS title, {_DOI_URL_SQL} AS u, doc_id FROM documents),
 k AS (SELECT run_id, arrival_seq, CASE WHEN doc_id % 3 = 0 THEN u ELSE 'https://a.example/' || doc_id % 500 END AS url, CASE WHEN doc_id % 3 = 0 THEN {_DOI_SQL} END AS doi, {_NORM_SQL.format('title')} AS norm,
   'doe' || doc_id % 7 || '|' || (2000 + doc_id % 5) || '|' || nullif(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(title, '[^\\pL\\pN]+'), lambda t: t <> ''), 1, 3), ' ')), '') AS fp FROM d),

@@ -274,7 +274,25 @@ def q_instance_scores(spark, sf_dir):
 
 _RAW = (None, "You're offline", "x (HTTP 404)", "HTTP 400", "http 403", "HTTP 429 slow", "HTTP 503", "a landing page", "Too large", "empty response", "no signature", "text is empty", "timed out", "DNS failure", "cancelled", "odd")
 _RAW_KINDS = ("none", None, "gone", "rejected", "blocked", "busy", "server", "page", "large", "small", "damaged", "no_text", "timeout", "network", "cancelled", None)
-_SAID = tuple(display.DOWNLOAD_MESSAGES[k] if k else r for r, k in zip(_RAW, _RAW_KINDS, strict=True))
+# What the messages have to be, written out so that a wrong text in the module shows.
+_SAID = (
+    "The download didn't complete.",
+    "You're offline",
+    "The document is no longer available at this link.",
+    "The download link was rejected by the server — it may have expired or need a login. Skipped.",
+    "This source blocked the download — it may require a subscription or sign-in.",
+    "The source was busy and rate-limited us — we backed off and retried.",
+    "The source's server had a temporary problem.",
+    "This link opened a web page, not a downloadable file — skipped.",
+    "The file was larger than the download size limit.",
+    "The server returned an empty or tiny response — likely an error page.",
+    "The downloaded file was corrupted or wasn't really a document.",
+    "Downloaded, but no readable text could be pulled out (it may be a scanned image).",
+    "The download timed out.",
+    "Couldn't reach the server — check your internet connection.",
+    "Cancelled.",
+    "odd",
+)
 
 
 @register(f"SELECT event_id, {sql_pick(_RAW_KINDS, 'event_id')} AS kind, {sql_pick(_SAID, 'event_id')} AS said FROM events")
@@ -287,9 +305,19 @@ def q_download_messages(spark, sf_dir):
 _KINDS = ("rate_limit", "forbidden", "server_error", "timeout", "parse_error", "other", "odd")
 _OF_SOURCES = ("arxiv", "meta_search/web", "", "zz")
 _NAMES = ("arXiv", "DuckDuckGo", "This source", "zz")
-
-
-@register(f"SELECT event_id, replace({sql_pick(tuple(display.SOURCE_MESSAGES.get(k, display.SOURCE_MESSAGES['other']) for k in _KINDS), 'event_id')}, '%s', {sql_pick(_NAMES, 'event_id // 7')}) AS said, {sql_pick((*display.KIND_TAGS.values(), 'issue', 'issue'), 'event_id')} AS tag FROM events")
+_PROBLEMS = (
+    "%s is rate-limiting us right now — we'll back off and keep going.",
+    "%s blocked the request (it may need a sign-in or be region-locked).",
+    "%s had a temporary server error.",
+    "%s took too long to respond.",
+    "Couldn't read %s's response.",
+    "%s reported a problem.",
+    "%s reported a problem.",
+)
+_TAGS = ("rate limited", "blocked", "server error", "timed out", "unreadable", "issue", "issue")
+
+
+@register(f"SELECT event_id, replace({sql_pick(_PROBLEMS, 'event_id')}, '%s', {sql_pick(_NAMES, 'event_id // 7')}) AS said, {sql_pick(_TAGS, 'event_id')} AS tag FROM events")
 def q_source_messages(spark, sf_dir):
     """Sources' problems in plain words, and their tags."""
     e = F.col("event_id")
@@ -298,23 +326,57 @@ def q_source_messages(spark, sf_dir):
 
 
 _STATUS = (400, 401, 403, 404, 410, 408, 429, 500, 599, 418, 600)
-_STATUS_SAID = tuple(content.STATUS_MESSAGES.get(content.SAME_STATUS.get(s, s), content.OTHER_STATUS) for s in _STATUS)
-
-
-@register(f"""SELECT event_id, {sql_pick(_STATUS_SAID, 'event_id')} AS http, {sql_pick((*content.NETWORK_MESSAGES.values(), content.OTHER_NETWORK), 'event_id')} AS network,
-CASE WHEN event_id % 5 = 0 THEN 'The server sent an empty response.' WHEN event_id % 5 * 2000 < 4096 THEN 'The file was too small (' || event_id % 5 * 2000 || ' bytes).' END AS size FROM events""")
+_STATUS_SAID = (
+    "The download link was rejected by the server — it may have expired or need a sign-in",
+    "This source blocked the download — it may need a subscription or sign-in",
+    "This source blocked the download — it may need a subscription or sign-in",
+    "The document is no longer available at this link",
+    "The document is no longer available at this link",
+    "The server took too long to respond",
+    "The source is busy and asked us to slow down",
+    "The source's server had a temporary problem",
+    "The source's server had a temporary problem",
+    "The server refused to send the file",
+    "The server refused to send the file",
+)
+_NETWORK_SAID = ("The download timed out — the server was too slow to respond.", "Couldn't reach the server — check your internet connection.", "Couldn't reach the server (network error).")
+_SIZES = (0, 2000, 4095, 4096, 524288000, 524288001)
+_SIZE_SAID = (
+    "The server returned no data.",
+    "The server returned only 2000 bytes — likely an error page, not the document.",
+    "The server returned only 4095 bytes — likely an error page, not the document.",
+    None,
+    None,
+    "This file is too large to download (over 500 MB).",
+)
+
+
+@register(f"SELECT event_id, {sql_pick(_STATUS_SAID, 'event_id')} AS http, {sql_pick(_NETWORK_SAID, 'event_id')} AS network, {sql_pick(_SIZE_SAID, 'event_id')} AS size FROM events")
 def q_status_messages(spark, sf_dir):
     """Status codes, transport errors and sizes in plain words."""
     e = F.col("event_id")
-    return _events(spark, sf_dir).select("event_id", content.http_status_message(pick(_STATUS, e)).alias("http"), content.network_error_message(pick(("timeout", "connect", "reset"), e)).alias("network"), content.reject_size(e % 5 * 2000).alias("size"))
+    return _events(spark, sf_dir).select("event_id", content.http_status_message(pick(_STATUS, e)).alias("http"), content.network_error_message(pick(("timeout", "connect", "reset"), e)).alias("network"), content.reject_size(pick(_SIZES, e).cast("long")).alias("size"))
 
 
-@register("""SELECT doc_id, sha256(text) AS hash, doc_id % 2 = 0 AS fits, length(text) <= 500 AS whole, CASE WHEN strlen(text) <= 1000 THEN md5(text) END AS body FROM documents WHERE text IS NOT NULL""")
+@register("""SELECT doc_id, sha256(text) AS hash, doc_id % 2 = 0 AS fits, CASE WHEN strlen(text) <= 1000 THEN md5(text) END AS body FROM documents WHERE text IS NOT NULL""")
 def q_content_checks(spark, sf_dir):
     """Hashes verified and bodies capped."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     expected = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("text", 256))).otherwise("0")
-    return d.select("doc_id", F.sha2("text", 256).alias("hash"), content.verify_sha256(F.col("text").cast("binary"), expected).alias("fits"), (F.length("text") == F.length(text.truncated(F.substring("text", 1, 501), 2000))).alias("whole"), F.md5(session.capped(F.col("text"), 1000)).alias("body"))
+    return d.select("doc_id", F.sha2("text", 256).alias("hash"), content.verify_sha256(F.col("text").cast("binary"), expected).alias("fits"), F.md5(session.capped(F.col("text"), 1000)).alias("body"))
+
+
+_LIMITS = (1, 100, 1001, 5002)
+
+
+@register(f"""WITH c AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) AS n, unnest(list_transform(string_split(text, ''), lambda x: strlen(x))) AS w FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, n, sum(w) OVER (PARTITION BY doc_id ORDER BY n) AS bytes FROM c),
+p AS (SELECT doc_id, {", ".join(f"coalesce(max(n) FILTER (bytes <= {k}), 0) AS n{k}" for k in _LIMITS)} FROM b GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"md5(left(text, n{k})) AS cut{k}" for k in _LIMITS)} FROM p JOIN documents USING (doc_id)""")
+def q_truncated(spark, sf_dir):
+    """Whole texts cut to several numbers of bytes, at characters."""
+    d = table(spark, sf_dir, "documents").where("text <> ''")
+    return d.select("doc_id", *[F.md5(text.truncated(F.col("text"), k)).alias(f"cut{k}") for k in _LIMITS])
 
 
 _HREFS = ("https://a/x.pdf", "//b/y", "https://d/l/?uddg=https%3A%2F%2Fc%2Fz.pdf&rut=1", "/rel", "https://zenodo.org/r/1", "https://www.zenodo.org/r/2")

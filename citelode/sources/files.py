@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelode.functions.content import MAX_BYTES, MAX_ENTRY
 from citelode.operators.schemas import LIBRARY_DOCUMENTS, MANIFEST, RUN_LOG, RUNS
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
+def manifests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Legacy manifests, one JSON file each; ``library`` is the folder's name."""
     return spark.read.schema(MANIFEST).json(path, multiLine=True).withColumn("library", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
@@ -29,9 +30,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
-def contents(spark: SparkSession, path: str, most: int = 64 * 1024 * 1024) -> DataFrame:
-    """Files with their bytes, those beyond ``most`` bytes left out by the scan."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most).select("path", "length", "content")
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """Files with their bytes: PDFs and EPUBs whole, of all others what their text may hold.
+
+    A library holds no file beyond ``MAX_BYTES``, so none is left out for its size.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= MAX_BYTES)
+    whole = F.lower("path").rlike(r"\.(pdf|epub)$")
+    return rows.select("path", "length", F.when(whole, F.col("content")).otherwise(F.substring("content", 1, MAX_ENTRY)).alias("content"))
 
 
 def library(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -172,8 +172,9 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _arxiv_entries(xml: str) -> list[dict]:
-    out = []
+def _arxiv_hits(xml: str) -> list[dict | None]:
+    """The feed's entries as documents, None for one without a link or id."""
+    out: list[dict | None] = []
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
@@ -186,9 +187,15 @@ def _arxiv_entries(xml: str) -> list[dict]:
         if url:
             people = [" ".join((n.text or "").split()) for a in entry if _local(a.tag) == "author" for n in a if _local(n.tag) == "name"]
             out.append({"title": text("title") or "", "url": url, "source": "arxiv", "authors": people, "year": (published or "")[:4] or None, "abstract": text("summary") or None, "identifier": ident})
+        else:
+            out.append(None)
     return out
 
 
+def _arxiv_entries(xml: str) -> list[dict]:
+    return [d for d in _arxiv_hits(xml) if d]
+
+
 def arxiv(df: DataFrame, payload: str = "payload") -> DataFrame:
     """arXiv's Atom feed: the PDF link, or the one that the id implies."""
     kept = [c for c in df.columns if c != payload]

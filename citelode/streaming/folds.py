@@ -33,8 +33,8 @@ def resolve_stream(discoveries: DataFrame, max_total: int = MAX_TOTAL) -> DataFr
             if len(matcher.kept) >= max_total:
                 out.append((row["arrival_seq"], "capped", None))
                 continue
-            new = matcher.add({k: row[k] for k in _KEYS}, row["source_id"], int(row["rank_in_source"]))
-            out.append((row["arrival_seq"], "merged" if new is None else "new", new))
+            idx, new = matcher.add({k: row[k] for k in _KEYS})
+            out.append((row["arrival_seq"], "new" if new else "merged", idx if new else None))
         state.update((pickle.dumps(matcher),))
         done = pd.DataFrame(out, columns=["arrival_seq", "outcome", "insert_idx"])
         done.insert(0, "run_id", key[0])

@@ -58,7 +58,7 @@ def plain_fold(rows):
             at = seen["doi"].get(r["doi"])
         if at is None and r["norm"] not in ("", "untitled"):
             i = next((i for i, k in enumerate(kept) if k["norm"] == r["norm"]), None)
-            if i is not None and (len(r["norm"].split()) >= 5 or (r["year"] and len(r["year"]) == 4 and r["year"] == kept[i]["year"]) or (r["surname"] and r["surname"] == kept[i]["surname"])):
+            if i is not None and (len(r["norm"].split()) >= 5 or (r["year"] and len(r["year"].encode()) == 4 and r["year"] == kept[i]["year"]) or (r["surname"] and r["surname"] == kept[i]["surname"])):
                 at, learn = i, True
         if at is None and r["fingerprint"]:
             i = next((i for i, k in enumerate(kept) if k["fingerprint"] == r["fingerprint"]), None)
