@@ -406,7 +406,7 @@ class ProviderAnswers(DataSource):
     """Format ``provider_answers``: payloads of live providers, ``ANSWERS``.
 
     Options: ``tasks``, a JSON list of ``[sub_query, source]``; ``limit``, documents of a task;
-    ``fetch``, ``module:function``. Register with ``spark.dataSource.register(ProviderAnswers)``.
+    ``fetch``, ``module:function``. ``register`` makes it known.
     """
 
     @classmethod
@@ -466,9 +466,15 @@ def documents(answers: DataFrame, source: str) -> DataFrame:
     return rows.select(*task, "page", (F.col("rank_in_source") + F.col("__before")).cast("int").alias("rank_in_source"), *DOCUMENT_FIELDS)
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and lets filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ProviderAnswers)
+
+
 def discover(spark: SparkSession, tasks: list[tuple[str, str]], limit: int, fetch: str) -> DataFrame:
     """Documents of all tasks: ``source_id, sub_query, page, rank_in_source`` and the document's fields."""
-    spark.dataSource.register(ProviderAnswers)
+    register(spark)
     read = spark.read.format("provider_answers").option("tasks", json.dumps(tasks)).option("limit", str(limit)).option("fetch", fetch).load()
     out = None
     for source in sorted({s for _, s in tasks} & set(PROVIDERS)):
