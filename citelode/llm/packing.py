@@ -2,9 +2,14 @@
 
 Hierarchical residual packing: every task packs its own pieces by best fit, longest first, and
 lets go of the bins that are nearly full. What is left, the underfull bins, are the items of the
-next round, in which fewer groups each pack what several tasks left; round after round the tree
-narrows until one group holds what no other could use. A round's item is a whole bin, so a piece
-keeps its place in it.
+next round, in which as many groups as they need each pack what several tasks left; round after
+round the tree narrows until one group holds what no other could use, or until a round leaves
+about as much as it got. A round's item is a whole bin, so a piece keeps its place in it.
+
+A group never leaves two bins that are at most half full, since the second one's items would
+have gone into the first; and bins more than half full don't go into each other. So rounds after
+the first save at most one bin for each group of the round before, and ending the tree where
+bins don't combine costs no more than that.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ LENGTH = 1024
 END_ID = 2
 #: Bins with at most this many free places are done.
 SLACK = 8
-#: Items that one group of a later round packs, and a bound on those of the last.
+#: Items that one group packs, on average; what share of the groups the next round may need.
 GROUP = 50_000
+NARROWER = 0.75
 CACHE = 800_000
 #: Characters of the pre-tokens whose ids are kept.
 CACHE_CHARS = 32_000_000
@@ -179,10 +185,11 @@ def _round(items: DataFrame, length: int, number: int) -> DataFrame:
 def pack(pieces: DataFrame, length: int = LENGTH, slack: int = SLACK, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; every column of ``pieces`` stays.
 
-    Needs ``item`` (distinct longs) and ``length`` (1 to ``length``). Groups of a round hold
-    ``group`` items on average, dealt by a hash, and a quarter as many groups are left in each
-    next round, so the last is small however large the input. Pieces already of full length
-    are bins by themselves. An empty table gives none.
+    Needs ``item`` (distinct longs) and ``length`` (1 to ``length``). Groups of every round hold
+    ``group`` items on average, dealt by a hash: their number follows from the items that are
+    left, so no group grows with the input. The tree ends with one group, or where the next
+    round would need more than ``NARROWER`` of the groups, since then bins don't combine. Pieces
+    already of full length are bins by themselves. An empty table gives none.
     """
     open_ = pieces.where(F.col("length") < length).select("item", F.col("length").alias("size"))
     groups = max(1, -(-open_.count() // group))
@@ -195,7 +202,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, slack: int = SLACK, group: int
         if groups == 1:
             break
         open_ = packed.where(F.col("fill") < length - slack).groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("size"))
-        groups, number = max(1, groups // 4), number + 1
+        after = max(1, -(-open_.count() // group))
+        if after > NARROWER * groups:
+            break
+        groups, number = after, number + 1
     # From the last round to the first, where each item ended.
     place: DataFrame | None = None
     for packed in reversed(moves):
