@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from citelode.llm.common import meet, stage
 
@@ -140,9 +141,10 @@ def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS,
     keys, found = recurring(df, text, min_docs)
     sizes = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("rk"), F.length(text).alias("chars")).distinct()
     hit = _framing(keys, found, sizes, min_docs, most).groupBy("rk").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("rk", "__rk")
-    # rows without a text, and copies of one text, don't gather in one task
-    number = F.monotonically_increasing_id()
-    rows = meet(df.withColumn("__rk", F.coalesce(F.xxhash64(text), number)), hit, "__rk", number, "left")
+    # rows without a text, and copies of one text, don't gather in one task; a row's own hash
+    # deals them out, which a recomputed task gives again
+    own = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)])
+    rows = meet(df.withColumn("__rk", F.when(F.col(text).isNull(), own).otherwise(F.xxhash64(text))), hit, "__rk", own, "left")
     cut = F.col("__gone").isNotNull() & F.col(text).isNotNull()
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))))

@@ -408,6 +408,27 @@ def test_packing_rounds(spark):
     assert packing.pack(pieces.where("false"), 100).count() == 0
 
 
+def test_packing_ends_where_pieces_dont_combine(spark, monkeypatch):
+    """No two of these fit together: the rounds end instead of gathering everything in one group."""
+    held, rounds = [], packing._round
+    monkeypatch.setattr(packing, "_round", lambda items, length, number: held.append(items.groupBy("g").count().agg(F.max("count")).first()[0]) or rounds(items, length, number))
+    sizes = [600 + i * 7 % 400 for i in range(4000)]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "item long, length long").withColumn("sequence", F.lit("kept")).withColumn("fill", F.lit(1))
+    out = packing.pack(pieces, 1024, group=200).toPandas()
+    assert len(held) == 1 and max(held) < 300
+    assert out["sequence_id"].nunique() == 4000 and set(out["offset"]) == {0} and set(out["sequence"]) == {"kept"}
+    # with small ones among them later rounds still join what groups left
+    held.clear()
+    sizes += [20 + i % 300 for i in range(4000)]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    out = packing.pack(pieces, 1024, group=200).toPandas()
+    assert max(held) < 300 and len(held) > 1
+    fills = out.groupby("sequence_id")["length"].sum()
+    _, _, best = packing.best_fit(np.array(sizes), 1024)
+    assert (fills <= 1024).all() and len(fills) <= 1.02 * len(best)
+
+
+
 # --- 9: substring dedup -------------------------------------------------------------------------
 
 
