@@ -18,7 +18,7 @@ from citelode.functions import query
 from citelode.functions.urls import url_key
 from citelode.operators import dedup, discovery, events, library, session, staging
 from citelode.plans import candidates
-from citelode.sources import files, live
+from citelode.sources import download, files, live
 from citelode.sources.web import ENGINES
 
 
@@ -106,6 +106,11 @@ def search(requests: DataFrame, fetch: str = "citelode.sources.live:http_fetch",
     return candidates.candidates(discovery.arrival(found), _keywords(tasks), max_total, **stages)
 
 
+def download_run(ranked: DataFrame, folder: str, fetch: str = "citelode.sources.download:http_download", locations: DataFrame | None = None) -> DataFrame:
+    """Downloads the kept candidates of runs into ``folder``: ``url, path, size_bytes, error``; see ``download.download``."""
+    return download.download(ranked.where("status = 'kept'"), fetch, folder, locations)
+
+
 def cancel_run(events: str, run_id: int) -> None:
     """Cancels a run's waves: one more row for the stream of events (JSON lines) under the folder ``events``.
 

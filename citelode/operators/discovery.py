@@ -142,7 +142,7 @@ def search_answer(results: DataFrame, query: Column, page: Column) -> DataFrame:
     is a bad request (400) without results; pages past the first are empty.
     """
     blank = ~F.coalesce(query, F.lit("")).rlike(r"(?U)\S")
-    empty = F.slice("results", 1, 0)
+    empty = F.array().cast(results.schema["results"].dataType)
     out = results.withColumn("status", F.when(blank, 400).otherwise(200)).withColumn("results", F.when(blank | (page > 1), empty).otherwise(F.coalesce("results", empty)))
     return out.withColumn("number_of_results", F.size("results"))
 

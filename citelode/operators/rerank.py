@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from citelode.functions.urls import extract_doi
 from citelode.operators.rank import flag_rejects
@@ -32,7 +33,7 @@ def pool_size(max_total: Column) -> Column:
 
 def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str, out: str = "vector") -> DataFrame:
     """Adds vectors by an injected model, batch by batch; a batch of the wrong size is an error."""
-    schema = docs.schema.add(out, "array<float>")
+    schema = StructType([*docs.schema.fields]).add(out, ArrayType(FloatType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from citelode.functions import content, display, query, text, urls
 from citelode.operators import discovery, events, library, rerank, session
-from citelode.plans import candidates
+from citelode.plans import candidates, registry
 from citelode.plans.registry import _discoveries, _errors, _KEYWORDS, _micros, register, table
-from citelode.sources import scholarly, web
+from citelode.sources import document_sink, scholarly, web
 
 
 def pick(values: tuple, n: Column) -> Column:
@@ -557,3 +557,87 @@ def q_search_run(spark, sf_dir):
     edges = table(spark, sf_dir, "documents").select(doi(F.col("doc_id")).alias("src_doi"), doi(F.col("doc_id") * 7).alias("dst_doi")).distinct()
     out = candidates.candidates(found, words, 500, vectors, verdicts, edges)
     return out.select("run_id", "insert_idx", "url", F.round("score", 6).alias("score"), "status", "reject_reason", "final_rank", F.size("sources").alias("n_sources"))
+
+
+# --- exact forms, choices and stores ------------------------------------------------------------
+
+
+@register(registry.SQL["q_strip_html"])
+def q_strip_html_exact(spark, sf_dir):
+    """Text of every page by the exact form, which decodes in one pass."""
+    out = text.strip_html(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(out).alias("digest"), F.length(out).cast("long").alias("n"))
+
+
+@register(registry.SQL["q_clean_title"])
+def q_clean_title_exact(spark, sf_dir):
+    """Clean title of every page by the exact form."""
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_title(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@register("""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS b FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine FROM p WHERE b IS NOT NULL""")
+def q_cosine_pairs(spark, sf_dir):
+    """The cosine of every vector with the next one, in runs of a hundred."""
+    from pyspark.sql import Window
+
+    after = F.lead("embedding").over(Window.partitionBy(F.floor(F.col("vec_id") / 100)).orderBy("vec_id"))
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding", after.alias("after")).where("after is not null")
+    return e.select("vec_id", F.round(rerank.cosine(F.col("embedding"), F.col("after")), 6).alias("cosine"))
+
+
+@register("""WITH h AS (SELECT DISTINCT 'https://v' || vendor_id || '.example' AS url FROM vendors WHERE vendor_id IS NOT NULL AND (nation_id IS NULL OR nation_id % 7 <> 0)),
+i AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS place, count(*) OVER () AS n FROM h),
+s AS (SELECT c_custkey AS run_id, c_custkey * 7919 % 1000003 AS seed, max(n) AS n FROM customer, i GROUP BY ALL),
+p AS (SELECT run_id, 1 AS turn, seed % n AS place FROM s UNION ALL SELECT run_id, 2, (seed % n + 1 + (seed // 256) % (n - 1)) % n FROM s WHERE n > 1)
+SELECT run_id, turn, url FROM p JOIN i USING (place) UNION ALL SELECT c_custkey, 0, 'http://127.0.0.1:8888' FROM customer""")
+def q_instance_choice(spark, sf_dir):
+    """Search instances that runs go to: the local one, then two by the run's seed, those out of service left out."""
+    v = table(spark, sf_dir, "vendors").where("vendor_id is not null")
+    url = F.concat(F.lit("https://v"), F.col("vendor_id").cast("string"), F.lit(".example"))
+    own = v.sparkSession.range(1).select(F.lit("http://127.0.0.1:8888").alias("url"), F.lit(True).alias("local"))
+    instances = v.select(url.alias("url"), F.lit(False).alias("local")).unionByName(own)
+    health = v.groupBy(url.alias("url")).agg(F.bool_and(F.coalesce(F.col("nation_id") % 7 == 0, F.lit(False))).alias("open"))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), (F.col("c_custkey") * 7919 % 1000003).alias("seed"))
+    return discovery.choose_instances(instances, runs, health).select("run_id", "turn", "url")
+
+
+_ASKED = ("rust book", "", "  ", None, "whales")
+
+
+@register(f"""WITH a AS (SELECT event_id, {sql_pick(_ASKED, 'event_id')} AS q, event_id % 3 + 1 AS page FROM events)
+SELECT event_id, CASE WHEN trim(coalesce(q, '')) = '' THEN 400 ELSE 200 END AS status, CASE WHEN trim(coalesce(q, '')) = '' OR page > 1 THEN 0 ELSE event_id % 5 END AS number_of_results FROM a""")
+def q_search_answers(spark, sf_dir):
+    """What the search interface answers: blank queries are refused, later pages empty."""
+    e = F.col("event_id")
+    a = _events(spark, sf_dir).select("event_id", pick(_ASKED, e).alias("q"), (e % 3 + 1).alias("page"), F.array_repeat(F.lit("x"), (e % 5).cast("int")).alias("results"))
+    return discovery.search_answer(a, F.col("q"), F.col("page")).select("event_id", "status", F.col("number_of_results").cast("long").alias("number_of_results"))
+
+
+@register(f"SELECT event_id, CASE WHEN {sql_pick(display.SOURCES, 'event_id')} IN ('meta_search', 'searxng', 'web', 'semantic_scholar', 'zenodo') THEN 2 ELSE 4 END AS at_once FROM events")
+def q_source_concurrency(spark, sf_dir):
+    """Requests that may be under way at a source."""
+    return _events(spark, sf_dir).select("event_id", discovery.source_concurrency(pick(display.SOURCES, F.col("event_id"))).alias("at_once"))
+
+
+@register("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def q_latest_candidates(spark, sf_dir):
+    """The last row of each key, as candidates are sent again."""
+    return library.latest_by(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@register("SELECT doc_id, CAST(length(source || ' ' || coalesce(text, '')) AS DOUBLE) AS length, CAST(len(regexp_extract_all(source || ' ' || coalesce(text, ''), '[aeiou]')) AS DOUBLE) AS vowels FROM documents")
+def q_embed(spark, sf_dir):
+    """Vectors of documents by an injected model, here two counts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" "), F.coalesce("text", F.lit(""))).alias("said"))
+    out = rerank.embed(d, lambda texts: [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts], "said")
+    return out.select("doc_id", F.col("vector")[0].cast("double").alias("length"), F.col("vector")[1].cast("double").alias("vowels"))
+
+
+@register()
+def q_document_sink(spark, sf_dir):
+    """Every page stored as a file, whole or not at all, or told why not."""
+    kinds = ("text/html", "application/pdf", None, "application/json", "text/plain")
+    p = table(spark, sf_dir, "pages").where("url is not null").select("url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), pick(kinds, F.col("page_id")).alias("content_type"), F.col("html").cast("binary").alias("content"))
+    out = document_sink.save_documents(p)
+    return out.select("url", "size_bytes", "error", F.regexp_extract("path", r"\\.([a-z]+)$", 1).alias("ext"))

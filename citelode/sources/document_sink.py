@@ -29,13 +29,16 @@ OUTCOME = "url string, path string, size_bytes long, error string"
 def checked(df: DataFrame) -> DataFrame:
     """Adds ``name`` and ``error`` to ``url, title, content_type, content``: what to store a download as, or why not.
 
-    Checks go in order: content type, size, magic bytes. A file that claims no binary type and
-    has no magic bytes is text or a page; one that claims a type and isn't a document is refused.
+    ``target``, where there is such a column, is the address that answered; ``problem`` says why
+    nothing did. Checks go in order: problem, content type, size, magic bytes. A file that claims
+    no binary type and has no magic bytes is text or a page; one that claims a type and isn't a
+    document is refused.
     """
+    at = F.coalesce(F.col("target"), F.col("url")) if "target" in df.columns else F.col("url")
+    problem = F.col("problem") if "problem" in df.columns else F.lit(None).cast("string")
     kind, head, size = F.coalesce("content_type", F.lit("")), F.substring("content", 1, content.HEAD), F.coalesce(F.octet_length("content"), F.lit(0))
-    claimed = content.claims_binary(F.col("url"), kind)
-    ext = content.reconcile_doc_ext(head, content.ext_from(F.col("url"), kind), claimed)
-    error = F.coalesce(content.reject_content_type(F.col("url"), kind), content.reject_size(size), F.when(ext.isNull(), content.NOT_THE_DOCUMENT))
+    ext = content.reconcile_doc_ext(head, content.ext_from(at, kind), content.claims_binary(at, kind))
+    error = F.coalesce(problem, content.reject_content_type(at, kind), content.reject_size(size), F.when(ext.isNull(), content.NOT_THE_DOCUMENT))
     return df.withColumn("error", error).withColumn("name", F.when(error.isNull(), F.concat(slug(F.coalesce("title", F.lit("")), F.col("url")), ext)))
 
 

@@ -163,7 +163,8 @@ def wave_stream(events: DataFrame, max_total: int = MAX_TOTAL, limits: tuple[int
     is), or cancel. A discovery is new, merged, capped once the run is full, or late after its
     wave's end. A wave's end has no ``arrival_seq``: drained, full, cancelled or deadline; a
     second start is skipped where it can't add anything. Within a batch rows count in
-    ``arrival_seq``, those of control too. ``limits`` are the waves' milliseconds.
+    ``arrival_seq``, those of control too. ``limits`` are the waves' milliseconds. With timers a
+    stream never runs dry, so its query needs a processing-time trigger, not ``availableNow``.
     """
     columns = ["run_id", "event", "tasks", "arrival_seq", "url", "doi", "norm", "surname", "fingerprint", "year"]
     keyed = with_keys(events).withColumn("url", F.coalesce("url", F.lit(""))).select(*columns)

@@ -72,3 +72,26 @@ def answer(request: Request) -> str:
     link = lambda i: f"//d/l/?uddg={url(i).replace(':', '%3A').replace('/', '%2F')}" if host == "html.duckduckgo.com" else url(i)
     one = lambda i: f'<a class="{mark}" href="{link(i)}">t{i}</a>' if mark else f'<h2><a href="{link(i)}">t{i}</a></h2>'
     return '<a href="https://menu.example/x.pdf">menu</a>' + "".join(one(i) for i in range(at, at + size))
+
+
+PDF = b"%PDF-1.7\n" + b"x" * 5000
+#: What made-up addresses answer: status, content type, body.
+SITES = {
+    "https://arxiv.org/pdf/1": (200, "application/pdf", PDF),
+    "https://a.example/wrong-type": (200, "text/html; charset=utf-8", PDF),
+    "https://a.example/landing": (200, "text/html", b'<html><a href="/files/paper.pdf">PDF</a></html>' + b" " * 5000),
+    "https://a.example/files/paper.pdf": (200, "application/pdf", PDF),
+    "https://a.example/page": (200, "text/html", b"<html>nothing here</html>" + b" " * 5000),
+    "https://a.example/loop": (200, "text/html", b'<meta name="citation_pdf_url" content="https://a.example/page">'),
+    "https://a.example/page.html": (200, "text/html", b"<html>" + b"y" * 5000),
+    "https://a.example/tiny.pdf": (200, "application/pdf", b"%PDF"),
+    "https://open.example/9.pdf": (200, "application/pdf", PDF),
+}
+
+
+def document(url: str) -> tuple[int, str, bytes]:
+    if "slow" in url:
+        raise TimeoutError
+    if "refused" in url:
+        raise ConnectionRefusedError
+    return SITES.get(url, (404, "text/html", b""))
