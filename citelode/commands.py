@@ -73,10 +73,14 @@ def _answers(tasks: DataFrame, per_source: int, fetch: str) -> DataFrame:
     about = ["run_id", "wave", "sub_idx", "source_idx"]
     meta = tasks.where("source_id = 'meta_search'").select(*about, "sub_query", "keywords", F.explode(F.array(*[F.lit(e) for e in ENGINES])).alias("source_id"), F.lit(True).alias("meta"))
     own = tasks.where("source_id <> 'meta_search'").select(*about, "sub_query", "keywords", "source_id", F.lit(False).alias("meta"))
+    # the sources asked, at most all there are: the others need no parser in the plan
+    wanted = {r.source_id for r in tasks.select("source_id").distinct().collect()}
     out = None
-    for rows, limit, sources in ((own, per_source, live.PROVIDERS), (meta, max(per_source, 8), ENGINES)):
+    for rows, limit, sources in ((own, per_source, wanted & set(live.PROVIDERS) or {"zenodo"}), (meta, max(per_source, 8), ENGINES if "meta_search" in wanted else ())):
+        if not sources:
+            continue
         answers = staging.written(live.ask(rows.repartition("run_id", "sub_idx", "source_id"), limit, fetch), "answers")
-        for source in sources:
+        for source in sorted(sources):
             one = live.documents(answers, source)
             out = one if out is None else out.unionByName(one)
     engine = F.when(F.col("meta"), F.array_position(F.array(*[F.lit(e) for e in ENGINES]), F.col("source_id"))).otherwise(0)

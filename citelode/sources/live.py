@@ -475,9 +475,10 @@ def register(spark: SparkSession) -> None:
 def discover(spark: SparkSession, tasks: list[tuple[str, str]], limit: int, fetch: str) -> DataFrame:
     """Documents of all tasks: ``source_id, sub_query, page, rank_in_source`` and the document's fields."""
     register(spark)
-    read = spark.read.format("provider_answers").option("tasks", json.dumps(tasks)).option("limit", str(limit)).option("fetch", fetch).load()
     out = None
     for source in sorted({s for _, s in tasks} & set(PROVIDERS)):
+        # loaded anew for each: scans of one loaded table share its reader, and so its filters
+        read = spark.read.format("provider_answers").option("tasks", json.dumps(tasks)).option("limit", str(limit)).option("fetch", fetch).load()
         one = documents(read.where(F.col("source_id") == source), source)
         out = one if out is None else out.unionByName(one)
     return out

@@ -94,8 +94,8 @@ def test_search_asks_both_waves(spark):
     assert max(x.rank for r in rows for x in r.source_ranks) == 12
     assert any(len(r.source_ranks) > 2 for r in rows if r.run_id == 1)
     # a run that is full after the first wave has no second
-    small = commands.search(asked, fetch, max_total=5, per_source=12, extras=extras).collect()
-    assert {r.run_id: sum(x.run_id == r.run_id for x in small) for r in small} == {1: 5, 2: 5}
+    small = commands.search(asked.where("run_id = 2"), fetch, max_total=5, per_source=12, extras=extras).collect()
+    assert len(small) == 5
 
 
 def test_folders_with_a_manifest_alone_are_listed(spark, tmp_path):
