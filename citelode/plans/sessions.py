@@ -640,4 +640,4 @@ def q_document_sink(spark, sf_dir):
     kinds = ("text/html", "application/pdf", None, "application/json", "text/plain")
     p = table(spark, sf_dir, "pages").where("url is not null").select("url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), pick(kinds, F.col("page_id")).alias("content_type"), F.col("html").cast("binary").alias("content"))
     out = document_sink.save_documents(p)
-    return out.select("url", "size_bytes", "error", F.regexp_extract("path", r"\\.([a-z]+)$", 1).alias("ext"))
+    return out.select("url", "size_bytes", "error", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext"))
