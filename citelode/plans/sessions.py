@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from citelode.functions import content, display, query, text, urls
 from citelode.operators import discovery, events, library, rerank, session
 from citelode.plans import candidates, registry
 from citelode.plans.registry import _discoveries, _errors, _KEYWORDS, _micros, register, table
-from citelode.sources import document_sink, scholarly, web
+from citelode.sources import document_sink, live, scholarly, web
 
 
 def pick(values: tuple, n: Column) -> Column:
@@ -641,3 +643,48 @@ def q_document_sink(spark, sf_dir):
     p = table(spark, sf_dir, "pages").where("url is not null").select("url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), pick(kinds, F.col("page_id")).alias("content_type"), F.col("html").cast("binary").alias("content"))
     out = document_sink.save_documents(p)
     return out.select("url", "size_bytes", "error", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext"))
+
+
+# --- providers over several pages ---------------------------------------------------------------
+
+_PAGED = ("openalex", "semantic_scholar", "europe_pmc", "doaj", "zenodo", "gutenberg")
+
+
+def _hits(url: Column, title: Column, year: Column) -> dict[str, tuple[Column, Callable[[Column], Column]]]:
+    """Each provider's form of a hit, and of an answer that holds a page of them."""
+    results = lambda hits: F.struct(hits.alias("results"))
+    file = F.array(F.struct(F.lit("x.csv").alias("key"), F.struct(F.lit("https://n/").alias("download")).alias("links")), F.struct(F.lit("x.PDF").alias("key"), F.struct(url.alias("download")).alias("links")))
+    return {
+        "openalex": (F.struct(title.alias("title"), year.alias("publication_year"), F.struct(url.alias("pdf_url")).alias("primary_location")), results),
+        "semantic_scholar": (F.struct(title.alias("title"), year.alias("year"), F.when(url.isNotNull(), F.struct(url.alias("url"))).alias("openAccessPdf")), lambda hits: F.struct(hits.alias("data"))),
+        "europe_pmc": (F.struct(title.alias("title"), year.cast("string").alias("pubYear"), F.struct(F.array(F.struct(F.lit("pdf").alias("documentStyle"), url.alias("url"))).alias("fullTextUrl")).alias("fullTextUrlList")), lambda hits: F.struct(F.struct(hits.alias("result")).alias("resultList"))),
+        "doaj": (F.struct(F.struct(title.alias("title"), year.alias("year"), F.array(F.struct(F.lit("fulltext").alias("type"), url.alias("url"))).alias("link")).alias("bibjson")), results),
+        "zenodo": (F.struct(F.struct(title.alias("title"), F.concat(year.cast("string"), F.lit("-03")).alias("publication_date")).alias("metadata"), file.alias("files")), lambda hits: F.struct(F.struct(hits.alias("hits")).alias("hits"))),
+        "gutenberg": (F.struct(title.alias("title"), F.struct(url.alias("application/pdf")).alias("formats")), results),
+    }
+
+
+@register(f"""WITH d AS (SELECT doc_id, source AS sub_query, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents WHERE source IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY sub_query ORDER BY doc_id) AS place FROM d WHERE doc_id % 5 <> 3),
+p AS (SELECT unnest([{", ".join(f"'{s}'" for s in _PAGED)}]) AS source_id)
+SELECT source_id, sub_query, CAST(n // 25 AS INTEGER) AS page, CAST(place AS INTEGER) AS rank_in_source, CASE WHEN doc_id % 7 = 0 THEN 'Untitled' ELSE 't' || doc_id END AS title, 'https://f.example/' || doc_id || '.pdf' AS url,
+  CASE WHEN doc_id % 4 <> 0 AND source_id <> 'gutenberg' THEN CAST(2000 + doc_id % 20 AS VARCHAR) END AS year FROM k, p WHERE place <= 60""")
+def q_provider_pages(spark, sf_dir):
+    """Documents out of several pages of six providers' answers, with hits that don't count and fields that are missing; 60 of a task (a limit is the feature)."""
+    from pyspark.sql import Window
+
+    i, limit = F.col("doc_id"), 60
+    d = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.col("source").alias("sub_query"))
+    d = d.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("sub_query").orderBy("doc_id")) - 1) / 25).cast("int"))
+    url = F.when(i % 5 != 3, F.concat(F.lit("https://f.example/"), i.cast("string"), F.lit(".pdf")))
+    title, year = F.when(i % 7 != 0, F.concat(F.lit("t"), i.cast("string"))), F.when(i % 4 != 0, 2000 + i % 20)
+    out: DataFrame | None = None
+    for source, (hit, answer) in _hits(url, title, year).items():
+        pages = d.select("sub_query", "page", F.struct("doc_id", hit.alias("hit")).alias("h"), url.alias("url")).groupBy("sub_query", "page").agg(F.array_sort(F.collect_list("h")).alias("h"), F.count("url").alias("given"))
+        before = F.sum("given").over(Window.partitionBy("sub_query").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+        pages = pages.withColumn("room", (limit - F.coalesce(before, F.lit(0))).cast("int")).where("room > 0")
+        none = F.lit(None).cast("string")
+        answers = pages.select(F.lit(source).alias("source_id"), "sub_query", "page", none.alias("item"), "room", F.to_json(answer(F.col("h.hit"))).alias("payload"), none.alias("error"))
+        found = live.documents(answers, source).select("source_id", "sub_query", "page", "rank_in_source", "title", "url", "year")
+        out = found if out is None else out.unionByName(found)
+    return out
