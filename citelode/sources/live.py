@@ -260,7 +260,7 @@ PROVIDERS: dict[str, Provider] = {
         request=lambda k, s, n: Request(
             "https://zenodo.org/api/records",
             (("q", " ".join(k)), ("size", "25"), ("page", str(s.token)), ("sort", "bestmatch"), ("access_status", "open"), ("type", "publication"), ("type", "preprint")),
-            headers=(("User-Agent", "citelode (open-access research tool)"), ("Accept", "application/json")),
+            headers=(("User-Agent", "citelode (research tool)"), ("Accept", "application/json")),
         ),
         hits=_json("hits", "hits"),
         kept=_zenodo_kept,
