@@ -102,3 +102,28 @@ def test_packing_of_columns_with_taken_names(spark):
 def test_every_operator_has_one_query():
     numbers = [int(name[2:].split("_")[0]) for name in queries.queries()]
     assert numbers == list(range(1, 14))
+
+
+def test_pipeline_of_repeated_rows_extra_columns_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    from citelode.llm import common
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, item long, piece string"
+    words = "the quick brown fox jumps over a lazy dog and runs through green woods every single morning before breakfast with friends".split()
+    said = [" ".join(words[(i * 7 + k * (i + 3)) % len(words)] + "abcdefgh"[(i + k) % 8] for k in range(60)) for i in range(12)]
+    rows = [(i, t, "aa", "s", len(t), 5, "high", 1, "p") for i, t in enumerate(said)]
+    rows += [rows[3]] * 2 + [(None, said[4] + " more", None, None, None, None, None, None, None), (20, None, "aa", "s", 0, 0, "", 0, ""), (21, "", "aa", "s", 0, 0, "", 0, "")]
+    for name, some in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        columns = docs.columns
+        for stage, step in corpus_pipeline.STAGES:
+            docs = common.stage(step(spark, docs, str(folder)), "test")
+            assert stage == "best_fit_packing" or docs.columns == columns
+            if stage == "ngram_jaccard":
+                # copies under one key are that document; both texts of a pair with a null key stay in one
+                assert {r.doc_id for r in docs.select("doc_id").collect()} >= ({*range(12)} if some else set())
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns[0] == "doc_id" and (out.count() > 0) == bool(some)
