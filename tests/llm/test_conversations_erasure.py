@@ -236,7 +236,7 @@ def brute_erasure(data):
     out = {}
     for name, rows in data.items():
         key = lambda r: (zlib.crc32(("" if client[name](r) is None else str(client[name](r))).encode()), [(x is not None, x if x is not None else 0) for x in r])  # noqa: B023, E731
-        rows, size = sorted(rows, key=key), 1 + len(rows) // 150
+        rows, size = sorted(rows, key=key), 1 + len(rows) // erasure.FILES
         for no in range(0, -(-len(rows) // size)):
             held = rows[no * size : (no + 1) * size]
             left = [r for r in held if not gone[name](r)]
@@ -292,8 +292,9 @@ def shop(spark, data):
     return [spark.createDataFrame(data[t], SHOP[t]) for t in SHOP]
 
 
-def test_erasure_of_hot_null_and_repeated_rows(spark):
+def test_erasure_of_hot_null_and_repeated_rows(spark, monkeypatch):
     """One client has most of all rows; ids are null, repeated or without a partner; a master has no clicks."""
+    monkeypatch.setattr(erasure, "FILES", 25)
     n = None
     data = {
         "clients": [(i, i // 2 if i % 7 else n, "web", n, f"n{i}", n, n, n, n, float(i) if i % 3 else n) for i in range(200)] + [(n, 3, n, n, n, n, n, n, n, 0.005)] * 2,
