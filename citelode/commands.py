@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from citelode.functions import query
 from citelode.functions.urls import url_key
-from citelode.operators import dedup, discovery, events, library, session, staging
+from citelode.operators import dedup, discovery, library, session, staging
 from citelode.plans import candidates
-from citelode.sources import download, files, live
+from citelode.sources import download, files, live, run_log
 from citelode.sources.web import ENGINES
 
 
@@ -187,8 +187,8 @@ def run_log_info(path: str) -> dict:
 
 
 def run_log_tail(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
-    """The last entries of the run log, in order."""
-    return events.runlog_tail(files.run_log(spark, path), most)
+    """The last entries of the run log (a file, or a folder of JSON lines), in order, from a bounded window at its end."""
+    return run_log.tail(spark, path, most)
 
 
 def export_library_zip(spark: SparkSession, root: str, name: str, target: str, include_text: bool = True, include_originals: bool = True) -> tuple[int, int]:

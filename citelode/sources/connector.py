@@ -1,4 +1,4 @@
-"""A Spark data source over captured provider answers, or a live fetcher where one is given."""
+"""A Spark data source over captured provider answers; ``live`` has the one that asks."""
 
 from __future__ import annotations
 

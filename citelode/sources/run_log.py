@@ -42,7 +42,7 @@ class Span(InputPartition):
 
 
 class LogReader(DataSourceStreamReader):
-    """Reads files ``*.jsonl`` under a folder, or one file."""
+    """Reads files ``*.jsonl`` and ``*.json`` under a folder, hidden ones left out, or one file."""
 
     def __init__(self, path: str, tail: int | None):
         self.path, self.tail = path, tail
@@ -56,7 +56,7 @@ class LogReader(DataSourceStreamReader):
         system, path = self._system()
         at = system.get_file_info(path)
         if at.type == fs.FileType.Directory:
-            return sorted((f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".jsonl")), key=lambda f: f.path)
+            return sorted((f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith((".jsonl", ".json")) and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
         return [at] if at.type == fs.FileType.File else []
 
     def _after_newline(self, path: str, start: int, end: int, last: bool) -> int | None:

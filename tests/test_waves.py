@@ -169,6 +169,11 @@ def test_spans_part_at_lines(tmp_path, monkeypatch):
     assert [r[2] for r in rows] == text.split("\n")[:-1]
     assert all(text.encode()[at:].startswith(line.encode()) for _, at, line in rows)
     assert run_log.LogReader(str(tmp_path / "none"), None).latestOffset() == {}
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for name in ("part-0.json", ".part-1.json", "_part.json", "note.txt", "b.jsonl"):
+        (folder / name).write_text("x\n")
+    assert sorted(p.rsplit("/", 1)[1] for p in run_log.LogReader(str(folder), None).latestOffset()) == ["b.jsonl", "part-0.json"]
 
 
 def test_tail_reads_a_bounded_window(spark, tmp_path):
