@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelode import commands
 from citelode.functions import content, display, query, text, urls
 from citelode.operators import discovery, events, library, rerank, session
 from citelode.plans import candidates, registry
@@ -688,3 +689,19 @@ def q_provider_pages(spark, sf_dir):
         found = live.documents(answers, source).select("source_id", "sub_query", "page", "rank_in_source", "title", "url", "year")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@register(f"""WITH e AS ({registry.SQL["q_expand_broad"]}),
+w AS (SELECT item_id AS run_id, 1 AS wave, sub_idx, sub_query FROM e
+  UNION ALL SELECT item_id, 2, 1, 'Zebra fish' FROM benchmark WHERE item_id % 2 = 0),
+s AS (SELECT unnest([0, 1]) AS source_idx, unnest(['arxiv', 'meta_search']) AS source_id)
+SELECT run_id, wave, sub_idx, sub_query, source_idx, source_id FROM w, s""")
+def q_run_tasks(spark, sf_dir):
+    """Tasks of requested runs in two waves: sub-queries by sources, without unknown and covered sources and extras that are there already."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    asked = F.concat(F.array_join(F.slice(words, 1, 5), " "), F.lit(", "), F.array_join(F.slice(words, 6, 3), " "))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), asked.alias("query"))
+    requests = b.withColumn("sources", F.array(*[F.lit(s) for s in ("arxiv", "meta_search", "web", "odd")]))
+    first = F.upper(F.element_at(query.expand_query(F.col("query")), 1))
+    extras = b.where("run_id % 2 = 0").select("run_id", F.posexplode(F.array(first, F.lit("Zebra fish"))).alias("idx", "sub_query"))
+    return commands.plan_run(requests, extras).select("run_id", "wave", "sub_idx", "sub_query", "source_idx", "source_id")
