@@ -132,6 +132,21 @@ def test_rerank_keeps_tail_below(spark):
     assert [r.old for r in out] == [2, 1, 3, 4, 5, 6]
 
 
+def test_rerank_of_equal_scores_is_by_cosine(spark, tmp_path):
+    from citelode.plans import registry
+
+    # ids divisible by 97 have one lexical score, as the heads of large tables have
+    rows = [(97 * i, [1.0, (7 * i % 30 - 15) / 10], i % 2) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cosine = {i: max(0.0, (1 - 1.5 * v[1]) / (3.25**0.5 * (1 + v[1] ** 2) ** 0.5)) for i, v, _ in rows}
+    want = {}
+    for label in (0, 1):
+        ids = [i for i, _, n in rows if n == label]
+        head = sorted(ids[:20], key=lambda i: (-round(cosine[i], 6), i))
+        want |= {i: (pytest.approx(0.6 + 0.4 * cosine[i], abs=2e-6), p) for p, i in enumerate(head, 1)} | {i: (1.0, p) for p, i in enumerate(ids[20:], 21)}
+    assert {r.vec_id: (r.score, r.pos) for r in registry.q_semantic_rerank(spark, str(tmp_path)).collect()} == want
+
+
 def test_band(spark):
     df = spark.createDataFrame([(1, f"u{i}", i, None) for i in range(10)], "run_id int, url string, pos int, reject_reason string")
     assert [r.url for r in rerank.borderline(df).orderBy("pos").collect()] == ["u5", "u6"]
