@@ -361,12 +361,12 @@ def q_status_messages(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", content.http_status_message(pick(_STATUS, e)).alias("http"), content.network_error_message(pick(("timeout", "connect", "reset"), e)).alias("network"), content.reject_size(pick(_SIZES, e).cast("long")).alias("size"))
 
 
-@register("""SELECT doc_id, sha256(text) AS hash, doc_id % 2 = 0 AS fits, CASE WHEN strlen(text) <= 1000 THEN md5(text) END AS body FROM documents WHERE text IS NOT NULL""")
+@register("""SELECT doc_id, sha256(text) AS hash, doc_id % 2 = 0 AS fits, strlen(text) <= 2000 AS whole, CASE WHEN strlen(text) <= 1000 THEN md5(text) END AS body FROM documents WHERE text IS NOT NULL""")
 def q_content_checks(spark, sf_dir):
-    """Hashes verified and bodies capped."""
+    """Hashes verified, whole texts told from truncated ones, bodies capped."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     expected = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("text", 256))).otherwise("0")
-    return d.select("doc_id", F.sha2("text", 256).alias("hash"), content.verify_sha256(F.col("text").cast("binary"), expected).alias("fits"), F.md5(session.capped(F.col("text"), 1000)).alias("body"))
+    return d.select("doc_id", F.sha2("text", 256).alias("hash"), content.verify_sha256(F.col("text").cast("binary"), expected).alias("fits"), (F.col("text") == text.truncated(F.col("text"), 2000)).alias("whole"), F.md5(session.capped(F.col("text"), 1000)).alias("body"))
 
 
 _LIMITS = (1, 100, 1001, 5002)

@@ -68,3 +68,15 @@ def test_library_docs_in_order(spark):
     df = spark.createDataFrame([(1, "b", "u", "f"), (1, "A", "v", "g"), (1, "c", "w", ""), (1, "d", "x", None), (1, "a", "t", "f")], "library int, title string, url string, local_path string")
     assert [(r.title, r.url) for r in library.library_docs(df).collect()] == [("a", "t"), ("A", "v"), ("b", "u")]
     assert sorted((r.title, r.place) for r in library.library_docs(df, spark.createDataFrame([("f",)], "path string"), "library").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_content_checks_tell_whole_texts_from_truncated_ones(spark, tmp_path):
+    import hashlib
+
+    from citelode.plans import sessions
+
+    texts = ["", "a" * 501, "a" * 1000, "a" * 1001, "a" * 2000, "a" * 2001, "é" * 1000, "é" * 1000 + "a", "a" + "é" * 1000, "😀" * 500, "a😀" * 400 + "b", "😀" * 501]
+    spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.hash, r.fits, r.whole, r.body) for r in sessions.q_content_checks(spark, str(tmp_path)).collect()}
+    raw = [t.encode() for t in texts]
+    assert got == {i: (hashlib.sha256(b).hexdigest(), i % 2 == 0, len(b) <= 2000, hashlib.md5(b).hexdigest() if len(b) <= 1000 else None) for i, b in enumerate(raw)}
