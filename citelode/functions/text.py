@@ -31,9 +31,14 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def pieces(x: Column) -> Column:
+    """What ``tokenize`` chooses from: also shorter and empty ones, for counts of tokens that are known."""
+    return F.split(F.lower(F.coalesce(x, F.lit(""))), NOT_ALNUM)
+
+
 def tokenize(x: Column) -> Column:
     """Lower-case runs of letters and digits of at least two characters, repeats kept; null gives none."""
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), NOT_ALNUM), lambda t: F.char_length(t) >= 2)
+    return F.filter(pieces(x), lambda t: F.char_length(t) >= 2)
 
 
 def has_searchable_token(x: Column) -> Column:
@@ -60,7 +65,8 @@ def first_author_surname(authors: Column) -> Column:
 
 def author_year_fingerprint(authors: Column, year: Column, title: Column) -> Column:
     """``surname|year|first three title tokens``; null where a part is missing."""
-    words = F.filter(F.split(F.coalesce(title, F.lit("")), NOT_ALNUM), lambda t: t != "")
+    # three tokens, what follows them, and an empty one if the title begins with something else
+    words = F.filter(F.split(F.coalesce(title, F.lit("")), NOT_ALNUM, 5), lambda t: t != "")
     head = F.lower(F.array_join(F.slice(words, 1, 3), " "))
     surname = first_author_surname(authors)
     return F.when(surname.isNotNull() & (F.octet_length(year) == 4) & (head != ""), F.concat_ws("|", surname, year, head))

@@ -77,12 +77,12 @@ class Matcher:
 _KEYS = ("url", "doi", "norm", "surname", "fingerprint", "year")
 
 
-def resolve(discoveries: DataFrame, max_total: int = MAX_TOTAL) -> DataFrame:
-    """Merged documents of each run: ``run_id, insert_idx``, the first copy's fields, ``source_ranks``.
+def merged(discoveries: DataFrame, max_total: int = MAX_TOTAL) -> DataFrame:
+    """``run_id, insert_idx, first_seq, source_ranks`` of each run's merged documents, without their fields.
 
     Rows are taken in ``arrival_seq``, distinct within a run. Once a run has ``max_total``
     documents, what arrives later counts for nothing, copies included. Only keys go through the
-    fold; fields are joined back to the rows that became documents.
+    fold.
     """
 
     def step(matcher: Matcher, *values) -> tuple[Matcher, tuple[int | None, bool | None]]:
@@ -93,10 +93,24 @@ def resolve(discoveries: DataFrame, max_total: int = MAX_TOTAL) -> DataFrame:
     keys = with_keys(discoveries).select("run_id", "arrival_seq", "source_id", "rank_in_source", *_KEYS)
     rows = scan(keys, ["run_id"], ["arrival_seq"], list(_KEYS), "insert_idx int, new boolean", Matcher, step).where("insert_idx is not null")
     rank = F.struct("arrival_seq", F.col("source_id").alias("source"), F.col("rank_in_source").alias("rank"))
-    merged = rows.groupBy("run_id", "insert_idx").agg(F.max(F.when(F.col("new"), F.col("arrival_seq"))).alias("__first"), F.array_sort(F.collect_list(rank)).alias("__ranks"))
-    merged = merged.select(F.col("run_id").alias("__run"), "insert_idx", "__first", F.transform("__ranks", lambda r: F.struct(r["source"].alias("source"), r["rank"].alias("rank"))).alias("source_ranks"))
-    out = discoveries.join(merged, discoveries.run_id.eqNullSafe(F.col("__run")) & (F.col("arrival_seq") == F.col("__first")))
-    return out.select("run_id", "insert_idx", *DOCUMENT_FIELDS, "source_ranks")
+    out = rows.groupBy("run_id", "insert_idx").agg(F.max(F.when(F.col("new"), F.col("arrival_seq"))).alias("first_seq"), F.array_sort(F.collect_list(rank)).alias("__ranks"))
+    return out.select("run_id", "insert_idx", "first_seq", F.transform("__ranks", lambda r: F.struct(r["source"].alias("source"), r["rank"].alias("rank"))).alias("source_ranks"))
+
+
+def with_fields(discoveries: DataFrame, documents: DataFrame) -> DataFrame:
+    """``documents`` (rows of ``merged``, more columns may follow) with the fields of the copies that came first."""
+    more = [c for c in documents.columns if c not in ("run_id", "insert_idx", "first_seq")]
+    d = documents.withColumnsRenamed({"run_id": "__run", "first_seq": "__first"})
+    out = discoveries.select("run_id", "arrival_seq", *DOCUMENT_FIELDS).join(d, F.col("run_id").eqNullSafe(F.col("__run")) & (F.col("arrival_seq") == F.col("__first")))
+    return out.select("run_id", "insert_idx", *DOCUMENT_FIELDS, *more)
+
+
+def resolve(discoveries: DataFrame, max_total: int = MAX_TOTAL) -> DataFrame:
+    """Merged documents of each run: ``run_id, insert_idx``, the first copy's fields, ``source_ranks``.
+
+    See ``merged``; fields are joined back to the rows that became documents.
+    """
+    return with_fields(discoveries, merged(discoveries, max_total))
 
 
 def resolve_relational(discoveries: DataFrame, key: str = "arrival_seq") -> DataFrame:

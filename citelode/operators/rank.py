@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelode.functions.text import tokenize
+from citelode.functions.text import pieces, tokenize
 from citelode.functions.urls import authority_multiplier
 
 RRF_K, TITLE_BOOST, EPSILON = 60.0, 3, 0.001
@@ -27,27 +27,45 @@ def rrf(source_ranks: Column) -> Column:
     return F.aggregate(source_ranks, F.lit(0.0), lambda acc, s: acc + 1.0 / (F.lit(RRF_K) + s["rank"]))
 
 
+def asked_terms(keywords: DataFrame) -> DataFrame:
+    """``run_id, terms``: the terms of each run's keywords, with how often they are asked for."""
+    terms = keywords.select("run_id", F.explode(tokenize(F.col("keyword"))).alias("term")).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("q"))
+    return terms.groupBy("run_id").agg(F.collect_list(F.struct("term", "q")).alias("terms"))
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    """``run_id, insert_idx, tfidf`` of rows that carry their run's ``terms`` and its number of documents, ``n``."""
+
+    def counted(d: Column) -> Column:
+        # each document counts the few terms asked for in place, so no token becomes a row
+        times = lambda tokens, t: F.size(tokens) - F.size(F.array_remove(tokens, t["term"]))
+        return F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["q"].alias("q"), (TITLE_BOOST * times(d["title"], t) + times(d["body"], t)).alias("tf")))
+
+    # one array of one struct, so that a text is split once and not for each term
+    once = F.transform(F.array(F.struct(pieces(F.col("title")).alias("title"), pieces(F.col("abstract")).alias("body"))), counted)
+    per_doc = rows.select("run_id", "insert_idx", "n", F.explode(F.filter(F.get(once, F.lit(0)), lambda t: t["tf"] > 0)).alias("t")).select("run_id", "insert_idx", "n", "t.*")
+    scored = per_doc.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("run_id", "term")))
+    return scored.groupBy("run_id", "insert_idx").agg(F.sum(F.col("tf") * F.col("q") * idf(F.col("n"), F.col("df"))).alias("tfidf"))
+
+
 def tfidf(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """``run_id, insert_idx, tfidf`` of merged documents against each run's keywords.
 
     ``keywords`` has ``run_id, keyword``, a row for each time a sub-query names one, so repeated
     keywords weigh more. A title's tokens count three times.
     """
-    terms = keywords.select("run_id", F.explode(tokenize(F.col("keyword"))).alias("term")).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("q"))
-    asked = terms.groupBy("run_id").agg(F.collect_list(F.struct("term", "q")).alias("__terms"))
-    n = docs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = docs.select("run_id", "insert_idx", tokenize(F.col("title")).alias("__title"), tokenize(F.col("abstract")).alias("__body")).join(asked, "run_id")
-    # each document counts the few terms asked for in place, so no token becomes a row
-    times = lambda tokens, t: F.size(F.filter(F.col(tokens), lambda x: x == t["term"]))
-    counted = F.transform("__terms", lambda t: F.struct(t["term"].alias("term"), t["q"].alias("q"), (TITLE_BOOST * times("__title", t) + times("__body", t)).alias("tf")))
-    per_doc = rows.select("run_id", "insert_idx", F.explode(F.filter(counted, lambda t: t["tf"] > 0)).alias("t")).select("run_id", "insert_idx", "t.*")
-    scored = per_doc.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("run_id", "term"))).join(n, "run_id")
-    return scored.groupBy("run_id", "insert_idx").agg(F.sum(F.col("tf") * F.col("q") * idf(F.col("n"), F.col("df"))).alias("tfidf"))
+    asked = asked_terms(keywords).join(docs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id")
+    return weighed(docs.select("run_id", "insert_idx", "title", "abstract").join(asked, "run_id"))
 
 
 def rank_candidates(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """Merged documents with ``tfidf, rrf, authority, score`` and ``pos``, their place in the run."""
-    scored = docs.join(tfidf(docs, keywords), ["run_id", "insert_idx"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
+    return placed(docs, tfidf(docs, keywords))
+
+
+def placed(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """``rank_candidates`` where ``scores``, as from ``tfidf``, are there; a document without one has 0."""
+    scored = docs.join(scores, ["run_id", "insert_idx"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
     scored = scored.withColumn("rrf", rrf(F.col("source_ranks"))).withColumn("authority", authority_multiplier(F.col("url")))
     scored = scored.withColumn("score", combined(F.col("tfidf"), F.col("rrf"), F.col("authority")))
     return scored.withColumn("pos", place("run_id"))

@@ -18,7 +18,11 @@ def candidates(
     Stages that have no input are left out: ``vectors`` (``run_id, url, cosine``) reranks the
     head, ``verdicts`` filters the borderline band, ``edges`` boosts by citations.
     """
-    out = rank.flag_rejects(rank.rank_candidates(dedup.resolve(discoveries, max_total), keywords))
+    # terms and counts meet the merged rows before the texts do, so a text is exchanged once and counted there
+    merged = dedup.merged(discoveries, max_total)
+    asked = merged.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id"))).drop("source_ranks").join(rank.asked_terms(keywords), "run_id")
+    scores = rank.weighed(dedup.with_fields(discoveries, asked))
+    out = rank.flag_rejects(rank.placed(dedup.with_fields(discoveries, merged), scores))
     if vectors is not None:
         out = rerank.semantic_rerank(out.join(vectors, ["run_id", "url"], "left"), rerank.pool_size(F.lit(max_total))).drop("cosine")
     if verdicts is not None:

@@ -272,9 +272,14 @@ _DOI_URL_SQL = f"'https://doi.org/10.1234/X' || (doc_id % 211) || list_value({',
 _DOI_SQL = r"regexp_replace(regexp_replace(lower(regexp_extract(u, '(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)', 1)), '[.,);]+$', ''), '(?:\.(?:full|abstract|pdf|html|xml)|\.)+$', '')"
 
 
-def _doi_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _doi_url() -> Column:
+    """The address that a document's id stands for."""
     suffix = F.element_at(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("doc_id") % len(_SUFFIXES) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://doi.org/10.1234/X"), (F.col("doc_id") % 211).cast("string"), suffix).alias("url"))
+    return F.concat(F.lit("https://doi.org/10.1234/X"), (F.col("doc_id") % 211).cast("string"), suffix)
+
+
+def _doi_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", _doi_url().alias("url"))
 
 
 @register(f"WITH d AS (SELECT doc_id, {_DOI_URL_SQL} AS u FROM documents) SELECT doc_id, {_DOI_SQL} AS doi FROM d")
@@ -314,7 +319,7 @@ def q_author_year_fp(spark, sf_dir):
 
 def _discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as discoveries of runs of 200, with titles, authors and DOIs that repeat."""
-    d = _docs(spark, sf_dir).join(_doi_urls(spark, sf_dir), "doc_id")
+    d = _docs(spark, sf_dir).withColumn("url", _doi_url())
     some = F.col("doc_id") % 3 == 0
     return d.select(
         F.floor(F.col("doc_id") / 200).cast("long").alias("run_id"), F.col("doc_id").alias("arrival_seq"), F.col("source").alias("source_id"), (F.col("doc_id") % 40 + 1).cast("int").alias("rank_in_source"),

@@ -84,6 +84,14 @@ def test_search_run_equals_the_plain_search(spark):
     assert boosted > 0
 
 
+def test_search_run_makes_its_rows_once(spark):
+    """Of the tables' reads and folds there are a few, not one for each use of each stage's rows; texts are read for keys and for counts."""
+    plan = sessions.q_search_run(spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 14 and plan.count("MapInArrow") <= 4
+    one = registry._discoveries(spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert one.count("Scan parquet") == 1 and "Join" not in one
+
+
 def test_document_sink_stores_every_page_that_may_be_one(spark):
     from citelode.functions import content
 
