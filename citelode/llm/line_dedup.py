@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from citelode.llm.common import meet, stage
+from citelode.llm.common import discard, meet, stage
 
 DEPTH = 3
 #: Distinct texts that a template must occur in.
@@ -50,7 +50,8 @@ def _lines(df: DataFrame, text: str) -> DataFrame:
 def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """Lines ``(rk, pos, size, shape, n, leaf, tpl)``, and the masked lines ``tpl`` of each template ``grp`` that recurs.
 
-    Equal texts count as one document. Recurrence is counted over all documents.
+    Equal texts count as one document. Recurrence is counted over all documents. Both are staged;
+    what else was written on the way is deleted again.
     """
     keys = stage(_lines(df, text), "line-keys")
     per_tpl = keys.select("leaf", "n", "tpl", "rk").distinct().groupBy("leaf", "n", "tpl").agg(F.count(F.lit(1)).alias("docs"))
@@ -64,9 +65,13 @@ def recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tu
     varied = per_tpl.join(leaves, "leaf").join(shapes, "tpl")
     lines = varied.select(F.col("leaf").alias("node"), F.lit(DEPTH).alias("given"), "n", "tpl", "docs", F.split("shape", " ").alias("tokens"))
     found = exact.select("tpl", F.col("tpl").alias("grp"))
+    groups = []
     for group in _groups(stage(lines, "line-nodes", clean=False), min_docs):
+        groups.append(group)
         found = found.unionByName(group)
-    return keys, stage(found.distinct(), "line-recurring", clean=False)
+    found = stage(found.distinct(), "line-recurring", clean=False)
+    discard(per_tpl, leaves, *groups)
+    return keys, found
 
 
 def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
@@ -78,6 +83,7 @@ def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
     ones, which lead to the node. Nodes of fewer texts than ``min_docs`` end. Each round lets
     lines leave or splits at a position that isn't given, so rounds end. A node says at most a
     token for each of its lines' positions; its lines are dealt over salts where they meet it.
+    Staged ``lines`` are deleted once the next round's are written.
     """
     by_line = F.col("tpl")
     while True:
@@ -92,9 +98,9 @@ def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
         enough = (F.size("fixed") - F.col("__given") >= CONSTANT * (F.col("__n") - F.col("__given"))) & (F.col("__n") > F.col("__given"))
         nodes = nodes.select("node", F.when(enough, F.col("fixed")).alias("fixed"), (-F.col("best.back")).alias("cut"))
         agrees = F.forall("fixed", lambda c: F.get("tokens", c["at"]) == c["token"])
-        held = stage(meet(lines, nodes, "node", by_line).withColumn("agrees", F.coalesce(agrees, F.lit(False))).drop("fixed"), "line-held", clean=False)
-        full = held.where("agrees").groupBy("node").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-        held = meet(held, full, "node", by_line, "left")
+        read = stage(meet(lines, nodes, "node", by_line).withColumn("agrees", F.coalesce(agrees, F.lit(False))).drop("fixed"), "line-held", clean=False)
+        full = read.where("agrees").groupBy("node").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
+        held = meet(read, full, "node", by_line, "left")
         yield stage(held.where("agrees and support is not null").select("tpl", F.col("node").alias("grp")), "line-group", clean=False)
 
         left = held.where("(support is not null and not agrees) or (support is null and cut is not null)")
@@ -104,13 +110,15 @@ def _groups(lines: DataFrame, min_docs: int) -> Iterator[DataFrame]:
         split = F.col("more").isNotNull() & F.col("support").isNull()
         moved = moved.select(F.when(split, F.col("way")).otherwise(F.xxhash64("node", F.lit(-1))).alias("node"), F.when(split, F.col("given") + 1).otherwise(F.col("given")).alias("given"), "n", "tpl", "docs", "tokens")
         several = moved.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("node")
-        lines = stage(meet(moved, several, "node", by_line, "left_semi"), "line-nodes", clean=False)
+        last, lines = lines, stage(meet(moved, several, "node", by_line, "left_semi"), "line-nodes", clean=False)
+        discard(last, kinds, read)
         if lines.isEmpty():
+            discard(lines)
             return
 
 
 def _framing(keys: DataFrame, found: DataFrame, sizes: DataFrame, min_docs: int, most: float) -> DataFrame:
-    """The lines ``(rk, pos)`` of templates that recur when a family of copies counts as one document.
+    """Per text ``rk`` the lines ``__gone`` of templates that recur when a family of copies counts as one document; staged.
 
     A document of which more than ``most`` is recurring lines belongs to the family of its
     longest one's template (of equally long ones the last by name, a template's first line); any
@@ -124,7 +132,10 @@ def _framing(keys: DataFrame, found: DataFrame, sizes: DataFrame, min_docs: int,
     family = docs.select("rk", F.when(F.col("held") > most * F.col("chars"), F.xxhash64(F.lit("family"), "longest.name")).otherwise(by_text).alias("family"))
     members = hit.select("rk", "grp").distinct().join(family, "rk").select("grp", "family").distinct()
     framing = members.groupBy("grp").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= min_docs).select("grp")
-    return meet(hit.select("rk", "pos", "grp"), framing, "grp", by_text, "left_semi").select("rk", "pos").distinct()
+    gone = meet(hit.select("rk", "pos", "grp"), framing, "grp", by_text, "left_semi").select("rk", "pos").distinct()
+    gone = stage(gone.groupBy("rk").agg(F.collect_list("pos").alias("__gone")), "line-gone")
+    discard(hit)
+    return gone
 
 
 def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, most: float = MOST) -> DataFrame:
@@ -140,7 +151,8 @@ def drop_recurring(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS,
     df = df.drop(*({"n_lines", "n_dropped"} - {text}))
     keys, found = recurring(df, text, min_docs)
     sizes = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("rk"), F.length(text).alias("chars")).distinct()
-    hit = _framing(keys, found, sizes, min_docs, most).groupBy("rk").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("rk", "__rk")
+    hit = _framing(keys, found, sizes, min_docs, most).withColumnRenamed("rk", "__rk")
+    discard(keys, found)  # the rows are read again, but their lines no more
     # rows without a text, and copies of one text, don't gather in one task; a row's own hash
     # deals them out, which a recomputed task gives again
     own = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)])

@@ -12,9 +12,11 @@ overlaps of its fragments.
   neighbour's sizes uses the cut of the class below too, so every pair that can link has one cut
   in common. Sets that share a fragment are pairs; beyond ``SMALL`` sets, a hot fragment ties its
   sets to its first one only.
-* Counting. The sets of all pairs are cut in ``PARTS`` fragments. Every fragment of a bucket of
-  pairs is one task's, which counts the pairs' partial overlaps; they are summed per pair and held
-  against the threshold in whole numbers. Only links that hold are closed into components.
+* Counting. The sets of all pairs are cut in ``PARTS`` fragments, of which ``ROUNDS`` rounds take a
+  few each. Every fragment of a bucket of pairs is one task's, which counts the pairs' partial
+  overlaps; they are summed per pair and held against the threshold in whole numbers. A set goes to
+  every bucket that asks for it, the more of them the larger the input, so no round exchanges whole
+  sets. Only links that hold are closed into components.
 * Hot fragments. Sets tied by hot fragments that are not in one component by then are cut into
   blocks. For each pair of blocks, fragment after fragment of the order gives partial overlap
   counts, summed per pair; a task returns a spanning forest of its links, not its pairs.
@@ -25,6 +27,7 @@ Equal sets are one class, represented by its smallest document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,8 +49,8 @@ PACK = 500_000
 SMALL, SMALL_HERE = 16, 8
 #: Rows whose sets a task holds at once.
 ROWS = 500
-#: Vertical fragments that pairs are counted in, and pairs of one bucket on average.
-PARTS = 8
+#: Vertical fragments that pairs are counted in, rounds that take them in turn, and pairs of one bucket on average.
+PARTS, ROUNDS = 8, 4
 PAIRS = 10_000
 #: An n-gram is common when this share of the documents or more hold it; only so many of the most
 #: common are told apart. Both change which fragments come first, never which pairs link.
@@ -335,24 +338,31 @@ def _sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, n: int) -> DataFr
     return docs.join(wanted.hint("merge"), "id").select("cls", "text").mapInArrow(again, "cls long, grams binary")
 
 
-def _counted(pairs: DataFrame, sets: DataFrame, percent: int, number: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link, by partial overlaps of each fragment, summed per pair."""
-    buckets = max(1, -(-number // PAIRS))
-    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("salts")).where("salts > 1")
-    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
-    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(buckets)).cast("int").alias("bucket"))
-    where = dealt.select(F.explode(F.array("a", "b")).alias("cls"), "bucket").groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))
+def _pieces(sets: DataFrame, where: DataFrame, parts: range) -> DataFrame:
+    """``bucket, part, cls, n, grams``: those fragments of every set, for each of its buckets in ``where``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1)
         for batch in _sliced(batches):
             out = []
-            for cls, raw, buckets_ in zip(batch.column("cls").to_pylist(), batch.column("grams"), batch.column("buckets").to_pylist(), strict=True):
+            for cls, raw in zip(batch.column("cls").to_pylist(), batch.column("grams"), strict=True):
                 grams = np.frombuffer(raw.as_buffer(), np.uint64)
-                ends = np.searchsorted(grams, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1))
-                pieces = [p.tobytes() for p in np.split(grams, ends)]
-                out += [(b, f, cls, len(grams), p) for b in buckets_ for f, p in enumerate(pieces)]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.nulls(0, k) for k in kinds], names=["bucket", "part", "cls", "n", "grams"])
+                pieces = np.split(grams, np.searchsorted(grams, bounds))
+                out += [(f, cls, len(grams), pieces[f].tobytes()) for f in parts]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.nulls(0, k) for k in kinds], names=["part", "cls", "n", "grams"])
+
+    met = sets.select("cls", "grams").mapInArrow(cut, "part int, cls long, n long, grams binary").join(where.hint("merge"), "cls")
+    return met.select(F.explode("buckets").alias("bucket"), "part", "cls", "n", "grams")
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, percent: int, number: int) -> DataFrame:
+    """The pairs ``(a, b)`` that link, by partial overlaps of each fragment, summed per pair; staged."""
+    buckets = max(1, -(-number // PAIRS))
+    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("salts")).where("salts > 1")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
+    dealt = stage(pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(buckets)).cast("int").alias("bucket")), "ngram-dealt", clean=False)
+    where = dealt.select(F.explode(F.array("a", "b")).alias("cls"), "bucket").groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))
 
     def partial(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         held = held.drop_duplicates("cls").sort_values("cls")
@@ -374,11 +384,16 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int, number: int) -> Da
                 n += np.bincount(own[_held(mix64(flat[at] ^ mix64(x[own].astype(np.uint64) + np.uint64(_ODD[0]))), table)], minlength=len(a))
         return pd.DataFrame({"a": a, "b": b, "sizes": size[x] + size[y], "n": n})[n > 0]
 
-    pieces = sets.join(where.hint("merge"), "cls").select("cls", "grams", "buckets").mapInArrow(cut, "bucket int, part int, cls long, n long, grams binary")
-    asked = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    counts = asked.groupBy("bucket", "part").cogroup(pieces.groupBy("bucket", "part")).applyInPandas(lambda q, h: partial(q, h), "a long, b long, sizes long, n long")
-    summed = counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("sizes").alias("sizes"))
-    return summed.where(100 * F.col("n") >= percent * (F.col("sizes") - F.col("n"))).select("a", "b")
+    counts = []
+    for at in range(0, PARTS, PARTS // ROUNDS):
+        parts = range(at, at + PARTS // ROUNDS)
+        asked = dealt.withColumn("part", F.explode(F.array(*[F.lit(f) for f in parts])))
+        met = asked.groupBy("bucket", "part").cogroup(_pieces(sets, where, parts).groupBy("bucket", "part"))
+        counts.append(stage(met.applyInPandas(lambda q, h: partial(q, h), "a long, b long, sizes long, n long"), "ngram-counts"))
+    summed = reduce(DataFrame.unionByName, counts).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("sizes").alias("sizes"))
+    links = stage(summed.where(100 * F.col("n") >= percent * (F.col("sizes") - F.col("n"))).select("a", "b"), "ngram-links")
+    discard(dealt, *counts)
+    return links
 
 
 def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -436,7 +451,7 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, key: str =
     pairs = stage(_candidates(docs.select("text"), int(known.entries or 0), n, percent, common), "ngram-pairs")
     first = sets.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
     grams = stage(_sets(docs, first, pairs, n), "ngram-grams")
-    links = stage(_counted(pairs, grams, percent, pairs.count()), "ngram-links")
+    links = _counted(pairs, grams, percent, pairs.count())
     linked = connected_components(links, "ngram-linked")
 
     tied = connected_components(pairs.where("hot").select("a", "b"), "ngram-hot")

@@ -1,5 +1,6 @@
 """The ten operators and the pipeline against brute force, round trips and edge cases."""
 
+import os
 import random
 import zlib
 
@@ -102,6 +103,17 @@ def test_line_dedup_finds_templates_in_mixed_leaves(spark):
     assert out == {i: int(i < len(lines)) for i in range(len(rows))}
 
 
+def test_line_dedup_leaves_only_what_its_result_reads(spark):
+    rng = random.Random(SEED)
+    name = lambda: prose(rng, 1, "klmnopqrstuvw") + prose(rng, 1, "klmnop")
+    rows = [(i, f"{prose(rng, 60)}\nPosted in the news section by {name()} for readers\nShared on day {i}") for i in range(40)]
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = line_dedup.drop_recurring(documents(spark, rows))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"line-gone"}
+    assert {r.n_dropped for r in out.collect()} == {2} == {r.n_dropped for r in out.collect()}
+
+
 def test_line_dedup_edges(spark):
     rows = [(*r, "x") for r in edge_rows()]
     out = line_dedup.drop_recurring(documents(spark, rows, "doc_id long, text string, size string"))
@@ -300,6 +312,28 @@ def test_fragments_of_linked_sets_always_meet():
                     assert len(np.intersect1d(ngram_join.fragment_keys(a, percent), ngram_join.fragment_keys(b, percent)))
 
 
+def test_pairs_are_counted_in_rounds_that_exchange_a_share_of_the_sets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS", 2)
+    rng = np.random.default_rng(SEED)
+    core = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    held = {i: np.unique(np.concatenate((core[rng.random(400) < rng.choice([0.9, 0.97])], rng.integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2)))) for i in range(25)}
+    held[25] = np.array([1], np.uint64)
+    asked = [(a, b, False) for a in held for b in held if a < b]
+    share = lambda a, b: (both := len(np.intersect1d(held[a], held[b]))) * 100 >= 80 * (len(held[a]) + len(held[b]) - both)
+    want = {(a, b) for a, b, _ in asked if share(a, b)}
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in held.items()], "cls long, grams binary")
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    links = ngram_join._counted(spark.createDataFrame(asked, "a long, b long, hot boolean"), sets, 80, len(asked))
+    assert {(r.a, r.b) for r in links.collect()} == want and 0 < len(want) < len(asked)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"ngram-links"}
+
+    where = spark.createDataFrame([(i, list(range(i % 3 + 1))) for i in held], "cls long, buckets array<int>")
+    rounds = [range(at, at + ngram_join.PARTS // ngram_join.ROUNDS) for at in range(0, ngram_join.PARTS, ngram_join.PARTS // ngram_join.ROUNDS)]
+    sent = [ngram_join._pieces(sets, where, r).agg(F.sum(F.octet_length("grams"))).first()[0] for r in rounds]
+    assert sum(sent) == sum(8 * len(x) * (i % 3 + 1) for i, x in held.items()) and max(sent) < 0.35 * sum(sent)
+
+
 def test_jaccard_edges(spark):
     rows = [(*r, 1) for r in edge_rows()]
     out = ngram_join.ngram_jaccard_join(documents(spark, rows, "doc_id long, text string, n int"), 3, 90).collect()
